@@ -32,6 +32,7 @@ _NOTE = r"cut|truncated|truncation|snip|snipped|clipped|incomplete|connection (?
 AFTER = rf"(?i)(?:[\s\x{{FFFD}}…]++|\.{{3}}|\[(?:{_NOTE})[^\]\n]{{0,30}}\]|<(?:{_NOTE})[^>\n]{{0,30}}>|\((?:{_NOTE})[^)\n]{{0,30}}\))++\z"
 #: Shorter texts are prefixes of others by chance.
 LEAST = 20
+_END = 200
 _SCHEMA = "doc_id bigint, endless boolean, verdict string, word string, line int, text_key int, edge string, last_run boolean"
 _RUN = re.compile(r"[a-z]+\Z")
 
@@ -74,6 +75,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def body_of(text: Column) -> Column:
+    """The text without what stands behind a break. The pattern only sees the last characters, unless
+    nothing of them remains."""
+    end = F.regexp_replace(F.right(text, F.lit(_END)), AFTER, "")
+    short = F.concat(F.left(text, F.greatest(F.length(text) - _END, F.lit(0))), end)
+    return F.when((end != "") | (F.length(text) <= _END), short).otherwise(F.regexp_replace(text, AFTER, ""))
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.split(text, "[^a-z]++"))
 
@@ -97,7 +106,7 @@ def judged(documents: DataFrame) -> DataFrame:
     """doc_id, evidence (prefix, grammar, word, line or null for a whole text) of every document with a
     text."""
     texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
-    bodies = texts.select("doc_id", F.regexp_replace("text", AFTER, "").alias("body")).where("body <> ''")
+    bodies = texts.select("doc_id", body_of(F.col("text")).alias("body")).where("body <> ''")
     rows = materialize(bodies.repartitionByRange("body", "doc_id").sortWithinPartitions("body", "doc_id").mapInArrow(_neighbours, _SCHEMA))
     # the last body of a range and the next one after it: no more rows than three a range
     edges = rows.where("edge is not null").select("edge").distinct()
