@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxtree.llm.tokens import TOKENIZER, token_sizes
+from voxtree.session import materialize
 
 #: Documents of one window, and the most open containers that the next window may still fill.
 WINDOW, OPEN = 4096, 512
@@ -62,7 +63,7 @@ def pack_documents(documents: DataFrame, capacities: DataFrame, tokenizer: str =
     or for each piece of a document that exceeds the capacity."""
     rows = capacities.where("capacity_name is not null and capacity_tokens > 0").groupBy("capacity_name").agg(F.min("capacity_tokens").alias("n")).collect()
     targets = sorted((r["capacity_name"], int(r["n"])) for r in rows)
-    sizes = token_sizes(documents, tokenizer, True, "doc_id")
+    sizes = materialize(token_sizes(documents, tokenizer, True, "doc_id"))  # the ranges are sampled first
     order = ["place", "doc_id", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
