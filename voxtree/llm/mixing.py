@@ -77,7 +77,7 @@ def _thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
 def _sizes(documents: DataFrame, targets: DataFrame, tokenizer: str) -> DataFrame:
     listed = _targets(targets).where("target_weight > 0 and max_repeats > 0")
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(8)), 64 - STEP * ROUNDS)
-    known = documents.join(listed, "source")
+    known = documents.select("doc_id", "source", "text").join(listed, "source")
     counted = token_sizes(known, tokenizer, False, "doc_id", "source", "target_weight", "max_repeats")
     return materialize(counted.where("n_tokens > 0").withColumn("place", place))
 

@@ -19,12 +19,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Names of the pixel types.
 DTYPES = {"u8": "u1", "u16le": "<u2", "u16be": ">u2"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blank_mask(image: pd.Series, dtype: pd.Series, threshold: pd.Series, unit: pd.Series) -> pd.Series:
     """One letter per ``unit`` bytes: x where any voxel is above the threshold, else a dot."""
 
