@@ -63,12 +63,15 @@ def pending(records: DataFrame, ledger: DataFrame, runs: DataFrame, changed: str
     due. Repeated records come out once per distinct version.
     """
     state = ["v_status", "v_output", "v_time"]
-    due = records.select("*", *version(F.col("status"), F.col("output_swc"), F.col("timestamp_utc")))
+    due = records.select(
+        F.struct("*").alias("record"), F.col("record_id").alias("_key"), *([F.col(changed).alias("_changed")] if changed else []),
+        *version(F.col("status"), F.col("output_swc"), F.col("timestamp_utc")),
+    )
     if changed:
-        mark = F.broadcast(low_watermark(runs))
-        due = due.join(mark, F.col("low_watermark").isNull() | F.col(changed).isNull() | (F.col(changed) >= F.col("low_watermark"))).drop("low_watermark")
+        late = F.col("low_watermark").isNull() | F.col("_changed").isNull() | (F.col("_changed") >= F.col("low_watermark"))
+        due = due.join(F.broadcast(low_watermark(runs)), late)
     seen = handled(ledger, runs).select(F.col("record_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in state])
-    same = F.col("record_id") == F.col("_id")
+    same = F.col("_key") == F.col("_id")
     for c in state:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return due.join(seen, same, "left_anti").dropDuplicates(["record_id", *state]).drop(*state)
+    return due.join(seen, same, "left_anti").dropDuplicates(["_key", *state]).select("record.*")
