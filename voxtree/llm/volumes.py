@@ -55,6 +55,25 @@ def _starts(parts: Column) -> Column:
     return F.slice(sums, F.lit(1), F.size(parts))
 
 
+def _cuts(most: Column, least: Column) -> Column:
+    """The pattern of a run of ``least`` to ``most`` units, by where it ends: with the rest of the image, between
+    two blank units, beside one; each first in the upper half, then anywhere; else wherever it is full."""
+    least = F.least(F.greatest(least, F.lit(1)), most)
+    half = F.greatest(F.floor(most / 2), least)
+
+    def run(low: Column, high: Column) -> Column:
+        """``low`` to ``high`` units; nothing where there are none."""
+        return F.when(low <= high, F.concat(F.lit("[.x]{"), low.cast("string"), F.lit(","), high.cast("string"), F.lit("}"))).otherwise("(?!)")
+
+    def ending_blank(low: Column) -> Column:
+        return F.concat(run(low - 1, most - 1), F.lit(r"\."))
+
+    return F.concat(
+        run(F.lit(1), most), F.lit(r"\z|"), ending_blank(half), F.lit(r"(?=\.)|"), ending_blank(half), F.lit("|"), run(half, most), F.lit(r"(?=\.)|"),
+        ending_blank(least), F.lit("|"), run(least, most), F.lit(r"(?=\.)|"), run(F.lit(1), most),
+    )
+
+
 def oversized(results: DataFrame, scanners: DataFrame) -> DataFrame:
     """The oversized images, with limit, overlap and the sizes of a voxel, row and slice in bytes."""
     limits = scanners.where("scanner_name is not null").groupBy(F.col("scanner_name").alias("_scanner")).agg(
@@ -106,14 +125,8 @@ def split_oversized(results: DataFrame, scanners: DataFrame) -> DataFrame:
         .withColumn("mask", blank_mask("signal_image", "dtype", "threshold", F.col("_unit").cast("double")))
     )
     fresh = F.col("most") - F.col("shared")
-    n, less = fresh.cast("string"), (fresh - 1).cast("string")
-    low, from_one = F.floor(fresh / 2).cast("string"), F.greatest(F.floor(fresh / 2), F.lit(1)).cast("string")
-    low = F.when(fresh > 1, low).otherwise("0")
-    # the rest; between two blank units; beside one; each first in the upper half, then anywhere; any unit
-    pattern = F.concat(
-        F.lit(r"[.x]{1,"), n, F.lit(r"}\z|[.x]{"), low, F.lit(","), less, F.lit(r"}\.(?=\.)|[.x]{"), low, F.lit(","), less,
-        F.lit(r"}\.|[.x]{"), from_one, F.lit(","), n, F.lit(r"}(?=\.)|[.x]{0,"), less, F.lit(r"}\.|[.x]{1,"), n, F.lit(r"}(?=\.)|[.x]{1,"), n, F.lit("}"),
-    )
+    # a first piece has nothing to look back on: it may fill the limit and must be as long as what is shared
+    pattern = F.concat(F.lit(r"\A(?:"), _cuts(F.col("most"), F.col("shared")), F.lit(")|"), _cuts(fresh, F.lit(0)))
     pieces = (
         sized.withColumn("parts", F.regexp_extract_all("mask", pattern, F.lit(0)))
         .withColumn("starts", _starts(F.col("parts")))
