@@ -377,7 +377,7 @@ def segment_turn(spark, path):
     return _pairs(spark, path).select("id", (g.dot(a, b) <= 0).alias("sharp"), r6(g.turn_angle(a, b)).alias("angle"))
 
 
-@query(f"WITH {SEG} SELECT id, round(least(r * 1.5, r + 3), 6) AS radius, round(least(r * s * 1.5, r * s + 3) / least(r * 1.5, r + 3), 6) AS scale, round(sqrt((r * greatest(s, 1)) ** 2 + len * len) / 2, 6) AS ball, round(0.3 * (1 + 1 / (2 + exp(4 - r * sqrt(s)))), 6) AS least_score FROM seg")
+@query(f"WITH {SEG} SELECT id, CAST(round(least(r * 1.5, r + 3), 6) AS DOUBLE) AS radius, round(least(r * s * 1.5, r * s + 3) / least(r * 1.5, r + 3), 6) AS scale, round(sqrt((r * greatest(s, 1)) ** 2 + len * len) / 2, 6) AS ball, round(0.3 * (1 + 1 / (2 + exp(4 - r * sqrt(s)))), 6) AS least_score FROM seg")
 def segment_dilate(spark, path):
     r, s = F.col("r"), F.col("s")
     radius, scale = g.dilated(r, s)
