@@ -42,7 +42,7 @@ def read_swc(spark: SparkSession, paths: str | Sequence[str], mode: str = "t", s
 
 def number_text(column: str | Column) -> Column:
     """Three decimals without trailing zeros; halves go to the even digit, small negatives to -0."""
-    c = (F.col(column) if isinstance(column, str) else column).cast("double")
+    c = (F.col(column) if isinstance(column, str) else column).cast("float").cast("double")  # as such files hold them
     text = F.regexp_replace(F.bround(c.cast("decimal(38,12)"), 3).cast("decimal(38,3)").cast("string"), r"\.?0+$", "")
     return F.when((c < 0) & (text == "0"), "-0").otherwise(text)
 
