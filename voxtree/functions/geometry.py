@@ -96,12 +96,14 @@ def inside_segment(p: Vector, start: Vector, theta: Column, psi: Column, radius:
 
 
 def surface_distance(p: Vector, start: Vector, theta: Column, psi: Column, radius: Column, scale: Column, length: Column) -> Column:
-    """Distance to the surface along the ray from the axis, with flat caps; 0 inside."""
+    """0 within the ellipse from half a voxel before the start to ``length``; else the distance to the point on
+    the ray from the axis that lies on the surface, between start and end."""
     x, y, z = rotate_back(minus(p, start), theta, psi)
     norm = F.sqrt(F.pow(x / (radius * scale), 2) + F.pow(y / radius, 2))
-    beyond = F.greatest(-0.5 - z, z - length, F.lit(0.0))
+    beyond = z - F.greatest(F.lit(0.0), F.least(z, length - 1))
     radial = F.when(norm > 1, F.sqrt(x * x + y * y) * (1 - 1 / norm)).otherwise(0.0)
-    return F.sqrt(radial * radial + beyond * beyond)
+    inside = (norm <= 1) & (z >= -0.5) & (z <= length)
+    return F.when(inside, 0.0).otherwise(F.sqrt(radial * radial + beyond * beyond))
 
 
 def point_segment_distance(p: Vector, a: Vector, b: Vector) -> Column:

@@ -340,8 +340,8 @@ def point_in_segment(spark, path):
     return _pairs(spark, path).select("id", g.inside_segment(other, at, c("theta"), c("psi"), c("r"), c("s"), c("len")).alias("inside"))
 
 
-@query(f"""WITH {_LOCAL}, n AS (SELECT *, sqrt((lx / (r * s)) ** 2 + (ly / r) ** 2) AS nm, greatest(-0.5 - lz, lz - len, 0) AS cap FROM lo)
-SELECT id, round(sqrt((CASE WHEN nm > 1 THEN sqrt(lx * lx + ly * ly) * (1 - 1 / nm) ELSE 0 END) ** 2 + cap ** 2), 6) AS d FROM n""")
+@query(f"""WITH {_LOCAL}, n AS (SELECT *, sqrt((lx / (r * s)) ** 2 + (ly / r) ** 2) AS nm, lz - greatest(0, least(lz, len - 1)) AS cap FROM lo)
+SELECT id, round(CASE WHEN nm <= 1 AND lz >= -0.5 AND lz <= len THEN 0 ELSE sqrt((CASE WHEN nm > 1 THEN sqrt(lx * lx + ly * ly) * (1 - 1 / nm) ELSE 0 END) ** 2 + cap ** 2) END, 6) AS d FROM n""")
 def point_surface_distance(spark, path):
     at, _ = _seg_vectors()
     other, _ = _seg_vectors("o_")
@@ -578,3 +578,55 @@ def format_detection(spark, path):
     from voxtree.sources.formats import format_name
 
     return table(spark, path, "neuron").groupBy("image_path", format_name(F.col("image_path")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- tracing ----
+
+
+def _traced(spark: SparkSession, path: str, until: str, strategy: str = "lazy") -> DataFrame:
+    from voxtree.operators.tracing import stored_images, trace_images
+
+    # images differ in size: rows go round all tasks
+    images = stored_images(table(spark, path, "trace_result"))
+    return trace_images(images.repartition(4 * spark.sparkContext.defaultParallelism), until=until, strategy=strategy)
+
+
+@query()
+def trace_preprocess(spark, path):
+    return _traced(spark, path, "preprocess").select("id", "status", "error_message", "threshold", "n_foreground")
+
+
+@query()
+def seed_scoring(spark, path):
+    from voxtree.operators.tracing import seeds_of
+
+    return seeds_of(_traced(spark, path, "seeds", "eager"))
+
+
+@query()
+def chain_tracing(spark, path):
+    from voxtree.operators.tracing import tubes_of
+
+    return tubes_of(_traced(spark, path, "chains"))
+
+
+@query()
+def chain_filter(spark, path):
+    from voxtree.operators.tracing import chain_stats, filter_chains, tubes_of
+
+    return filter_chains(chain_stats(tubes_of(_traced(spark, path, "chains"))))
+
+
+@query()
+def trace_volume_end_to_end(spark, path):
+    from voxtree.operators.tracing import nodes_of
+
+    return nodes_of(_traced(spark, path, "nodes"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS since, event_type AS stage, CAST(max(user_id) AS BIGINT) AS current, count(*) AS n_events FROM events GROUP BY 1, 2")
+def progress_windows(spark, path):
+    from voxtree.streaming.watch import progress_by_stage
+
+    e = table(spark, path, "events").select(F.lit("all").alias("input_path"), F.col("event_type").alias("stage"), F.col("user_id").alias("current"), F.lit(1).alias("total"), F.col("ts").cast("timestamp").alias("at"))
+    return progress_by_stage(e, "1 hour").select(F.col("since").cast("timestamp_ntz").alias("since"), "stage", "current", "n_events")
