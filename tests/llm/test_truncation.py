@@ -35,7 +35,7 @@ S = "doc_id bigint, text string, source string, body string, word string"
 def test_prefix_and_words(spark):
     whole = [CODE + f"int next{i}(int a) {{\n    return resolve(a);\n}}\n" for i in range(12)]
     rows = [(i, t) for i, t in enumerate(whole)]
-    cut = {100: whole[3][:60], 101: whole[3][:60] + " [cut]", 102: whole[5][: len(CODE) + 5], 103: "def other(b):\n    widget = b + 1\n    return widg"}
+    cut = {100: whole[3][:60], 101: whole[3][:60] + " [cut]", 102: whole[5][: len(CODE) + 5], 103: "def other(b):\n    widget = b + 1\n    return widg", 104: PY + "def more(a):\n    return "}
     fine = {200: whole[3].rstrip(), 201: CODE, 202: None, 203: "", 204: " \n", 205: PROSE + "\nTo be continued", 206: CODE + "\nTo be continued", 207: PY + "\nTo be continued\n", 208: "tiny", 209: PROSE + "See below: more to come, To be continued", 210: PY, 211: PY}
     words = [(300 + i, PY + f"record = widget({i})\n") for i in range(12)]
     data = [*rows, *cut.items(), *((k, v) for k, v in fine.items() if k not in (205, 206, 207, 208, 209)), *words, (400, "long " * 400_000 + "end.")]
@@ -43,9 +43,9 @@ def test_prefix_and_words(spark):
     df = df.unionByName(df.where("doc_id = 100"))
     got = {r.doc_id: r.evidence for r in truncated(df).collect()}
     assert set(got) == set(cut)
-    assert got[100] == got[101] == "prefix" and got[103] == "word"
+    assert got[100] == got[101] == "prefix" and got[103] == "word" and got[104] == "blank"
     rates = {r.source: (r.n_documents, r.n_truncated) for r in truncation_rates(df).collect()}
-    assert rates["s"] == (df.count() - 1, 5) and rates[None] == (1, 0)
+    assert rates["s"] == (df.count() - 1, 6) and rates[None] == (1, 0)
 
 
 def test_phrases(spark):
@@ -57,7 +57,7 @@ def test_phrases(spark):
 def test_every_range_edge(spark):
     """Copies of one text over many ranges, and its longer copy in the last."""
     base = "word and word again and so on without an end of " * 3
-    rows = [(i, base) for i in range(50)] + [(99, base + "sentence here.")]
+    rows = [(i, base) for i in range(50)] + [(99, base + "sentence here.\nMore.")]
     df = spark.createDataFrame([(*r, "s", "", "") for r in rows], S).repartition(7)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -65,3 +65,8 @@ def test_every_range_edge(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert judged(spark.createDataFrame([], S)).count() == 0
+
+
+def test_more_kinds():
+    assert kind_of("# settings of the run\na:\n  b: 1\n  c: two words here.\n  not") == "yaml"
+    assert [ending(t) for t in ("# c.\na:\n  b: 1\n  not", "const t = [\n  [0x1, 2],\n  [0x", "<!-- x -->\n<p>Whole.</p>\n<div clas")] == ["open"] * 3

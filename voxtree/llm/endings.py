@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 
 _M, _S, _I = re.MULTILINE, re.DOTALL, re.IGNORECASE
-_HTML = re.compile(r"\s*(?:<!doctype|<html|<\?xml|<div|<body|<head)", _I)
+_HTML = re.compile(r"\s*<(?:!doctype|!--|\?xml|[a-z][a-z0-9]*[\s>/])", _I)
 _JSON = re.compile(r'\s*[\[{]\s*["{\[\]}]')
 _SHELL = re.compile(r'^#!.*sh\b|^\s*(?:local \w+=|fi$|done$|esac$|echo ")', _M)
 _PYTHON = re.compile(r"^\s*(?:(?:async )?def \w+\(.*|class \w+.*):[ \t\r]*$|^from [\w.]+ import |^import [\w.]+[ \t\r]*$", _M)
@@ -22,9 +22,8 @@ _STYLE = re.compile(r"^[.#]?[\w-]+(?:\{|\s*\{\s*$)|\}\.[\w-]+\{")
 _PROPERTY = re.compile(r"[\w-]+:\s?[^;{}]+;")
 _SCRIPT = re.compile(r"function|=>|\bvar\b")
 _BLOCK = re.compile(r"[;{}][ \t\r]*$", _M)
-_KEY = re.compile(r"^[ \t]*[\w-]+:(?: \S.*)?$", _M)
-_PROSE = re.compile(r"^(?:#+ |\* |[A-Z][a-z]+ .*\.$)", _M)
-_TUPLES = re.compile(r"^\s*[({].*[)}],[ \t\r]*$", _M)
+_KEY = re.compile(r"[ \t]*(?:- )?[\w-]+:(?: \S.*)?\r?\Z|[ \t]*- \S+\r?\Z")
+_TUPLES = re.compile(r"^\s*[(\[{].*[)\]}],[ \t\r]*$", _M)
 _CODE_INERT = re.compile(r'"(?:[^"\\\n]|\\.)*+"|`(?:[^`\\]|\\.)*+`|\'(?:[^\'\\\n]|\\.)*+\'|//[^\n]*+|/\*.*?\*/', _S)
 _PY_INERT = re.compile(r'"""(?:.*?)"""|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|#[^\n]*+', _S)
 _SH_INERT = re.compile(r"\"(?:[^\"\\]|\\.)*+\"|'[^']*+'|(?:^|(?<=\s))#[^\n]*+")
@@ -62,7 +61,8 @@ def kind_of(text: str) -> str:
         return "minified"
     if _TUPLES.search(head):
         return "tuples"
-    if _KEY.search(head) and not _PROSE.search(head):
+    lines = [ln for ln in head.split("\n")[:-1] if ln.strip() and not ln.lstrip().startswith("#")]
+    if lines and sum(1 for ln in lines if _KEY.match(ln)) > 0.8 * len(lines):
         return "yaml"
     return "prose"
 
@@ -130,6 +130,6 @@ def ending(body: str) -> str:
         if ":" not in last and not last.lstrip().startswith("-"):
             return "open"
         return "word" if _NAME.search(last) else "ends"
-    if _DECLARED.match(last) or last.lstrip().startswith(("#", "=", "http")):
+    if _DECLARED.match(last) or last.lstrip().lower().startswith(("#", "=", "http", "copyright", "©")):
         return "word" if _NAME.search(last) else "ends"
     return _sentence(last)

@@ -3,14 +3,15 @@
 What may stand behind a break (white space, dots, a note of the transfer, a broken character) is taken
 off, and the distinct rests are sorted. In sorted order every text that has a given one as a strict
 prefix follows it without a gap, so that one comparison with the next distinct text finds every text
-that a longer copy elsewhere carries on; ranges of the order are compared in parallel and their edges
+that a longer copy elsewhere carries on, by more than the line; ranges of the order are compared in parallel and their edges
 afterwards. The same test by prefix is made for last words: a last word that hardly occurs as a word of
 its own but is a strict prefix of a common one was cut. Most cut texts have no longer copy; these are
 found by the grammar of their own end (``endings``), with the test of words where the grammar leaves it
 open.
 
 Defined results: null and empty texts, and texts of nothing but what may follow a break, are whole; a
-text that a longer copy carries on at a line break is judged by its grammar alone; repeated rows are each
+text that a longer copy carries on at a line break, or only to the end of the line, is judged by its grammar
+alone; repeated rows are each
 judged alike. The counts of words and of last lines are over all documents.
 """
 
@@ -33,8 +34,10 @@ AFTER = rf"(?i)(?:[\s\x{{FFFD}}…]++|\.{{3}}|\[(?:{_NOTE})[^\]\n]{{0,30}}\]|<(?
 #: Shorter texts are prefixes of others by chance.
 LEAST = 20
 _END = 200
-_SCHEMA = "doc_id bigint, endless boolean, verdict string, word string, line int, text_key int, edge string, last_run boolean"
+_SCHEMA = "doc_id bigint, blank boolean, endless boolean, verdict string, word string, phrase boolean, line int, text_key int, edge string, last_run boolean"
 _RUN = re.compile(r"[a-z]+\Z")
+#: A compound word that stops with the first letter of its next part.
+_HUMP = re.compile(r"[A-Z][a-z]+[A-Z]\Z")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,33 +45,37 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     range come as rows without a document."""
     out: list[tuple] = []
     current: str | None = None
-    ids: list[int | None] = []
+    ids: list[tuple[int | None, bool]] = []
     distinct = 0
 
     def close(following: str | None) -> None:
-        inside = following is not None and len(current) >= LEAST and following.startswith(current) and following[len(current)] not in "\r\n"
+        rest = following[len(current) :] if following is not None and following.startswith(current) else "\n"
+        inside = len(current) >= LEAST and rest[0] not in "\r\n" and "\n" in rest
         word = _RUN.search(current)
+        verdict = "open" if inside else ending(current)
+        if verdict in ("word", "line") and _HUMP.search(current):
+            verdict = "open"
         line = current[current.rfind("\n") + 1 :].strip()
-        facts = (inside, "open" if inside else ending(current), word[0] if word else None, crc32(line.encode("utf-8", "replace")) - 2**31, crc32(current.encode("utf-8", "replace")) - 2**31)
+        facts = (inside, verdict, word[0] if word else None, " " in line, crc32(line.encode("utf-8", "replace")) - 2**31, crc32(current.encode("utf-8", "replace")) - 2**31)
         is_last = following is None
-        out.extend((i, *facts, current if is_last and k == 0 else None, is_last) for k, i in enumerate(ids))
+        out.extend((*i, *facts, current if is_last and k == 0 else None, is_last) for k, i in enumerate(ids))
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out:
-            types = (pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+            types = (pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
             names = [f.strip().split(" ")[0] for f in _SCHEMA.split(",")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
             out.clear()
 
     for batch in batches:
-        for body, doc in zip(batch["body"].to_pylist(), batch["doc_id"].to_pylist(), strict=True):
+        for body, *doc in zip(*(batch[c].to_pylist() for c in ("body", "doc_id", "blank")), strict=True):
             if body != current:
                 if current is not None:
                     close(body)
                 current, ids, distinct = body, [], distinct + 1
                 if distinct <= 2:
-                    out.append((None, None, None, None, None, None, body, None))
-            ids.append(doc)
+                    out.append((None,) * 8 + (body, None))
+            ids.append(tuple(doc))
         yield from flush()
     if current is not None:
         close(None)
@@ -103,29 +110,31 @@ def cut_words(texts: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """doc_id, evidence (prefix, grammar, word, line or null for a whole text) of every document with a
+    """doc_id, evidence (prefix, grammar, blank, word, line or null for a whole text) of every document with a
     text."""
     texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
-    bodies = texts.select("doc_id", body_of(F.col("text")).alias("body")).where("body <> ''")
+    bodies = texts.select("doc_id", "text", body_of(F.col("text")).alias("body")).where("body <> ''")
+    # a blank after the last word, on the same line to the end: the next word is missing
+    rest = F.expr("substring(text, length(body) + 1)")
+    bodies = bodies.select("doc_id", "body", (rest.rlike(r"^[ \t]") & ~rest.contains("\n")).alias("blank"))
     rows = materialize(bodies.repartitionByRange("body", "doc_id").sortWithinPartitions("body", "doc_id").mapInArrow(_neighbours, _SCHEMA))
     # the last body of a range and the next one after it: no more rows than three a range
     edges = rows.where("edge is not null").select("edge").distinct()
     following = edges.withColumn("next", F.lead("edge").over(Window.orderBy("edge")))
-    carried = following.where(
-        (F.length("edge") >= LEAST) & F.col("next").startswith(F.col("edge")) & ~F.substring(F.col("next"), F.length("edge") + 1, F.lit(1)).isin("\r", "\n")
-    ).select("edge")
+    rest = F.expr("substring(next, length(edge) + 1)")
+    carried = following.where((F.length("edge") >= LEAST) & F.col("next").startswith(F.col("edge")) & ~rest.rlike(r"\A[\r\n]") & rest.contains("\n")).select("edge")
     at_edge = rows.where("edge is not null and last_run").select("edge", "text_key").join(carried, "edge").select("text_key").distinct().withColumn("over", F.lit(True))
     rows = rows.where("verdict is not null").drop("edge").join(F.broadcast(at_edge), ["text_key"], "left")
 
     cut = cut_words(texts, rows.where("verdict in ('word', 'line') and word is not null")).withColumn("cut", F.lit(True))
-    # a last line that several different texts share is a phrase, not a break
+    # a last line of several words that different texts share is a phrase, not a break
     shared = (
-        rows.where("verdict = 'line'").groupBy("line").agg(F.count_distinct("text_key").alias("n")).where("n >= 3")
-        .select("line", F.lit("line").alias("verdict"), F.lit(True).alias("phrase"))
+        rows.where("verdict = 'line' and phrase").groupBy("line").agg(F.count_distinct("text_key").alias("n")).where("n >= 3")
+        .select("line", F.lit("line").alias("verdict"), F.lit(True).alias("shared"))
     )
     prefix = F.col("endless") | (F.coalesce("over", F.lit(False)) & F.col("last_run"))
     evidence = (
-        F.when(prefix, "prefix").when(F.col("verdict") == "open", "grammar").when(F.col("phrase"), None)
+        F.when(prefix, "prefix").when(F.col("verdict") == "open", "grammar").when(F.col("shared") & F.col("phrase"), None).when(F.col("blank") & F.col("verdict").isin("word", "line"), "blank")
         .when(F.col("cut") & F.col("verdict").isin("word", "line"), "word").when(F.col("verdict") == "line", "line")
     )
     return rows.join(cut, "word", "left").join(shared, ["line", "verdict"], "left").select("doc_id", evidence.alias("evidence"))
