@@ -7,9 +7,13 @@ no folder (tests, a laptop) is one made under the local temporary directory.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +39,25 @@ def get_session(app: str = "voxtree", cores: int | str = "*", **conf: str) -> Sp
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a session, once; they may have neither its folder nor its path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="voxtree-")  # the driver serves the file as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/voxtree.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(name)
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one is chosen only where the session has none."""
     context = spark.sparkContext
