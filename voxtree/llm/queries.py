@@ -9,9 +9,15 @@ from voxtree.llm.packing import container_fill, pack_documents
 from voxtree.llm.survivors import duplicate_groups, survivors
 from voxtree.llm.truncation import truncated, truncation_rates
 from voxtree.llm.volumes import blank_runs, split_oversized
+from voxtree.plans.problem_sql import micros, path as spelling, state
 from voxtree.plans.tables import table
 
 
+P3 = f"""WITH r AS (SELECT record_id, {spelling('input_path')} AS file, coalesce(list_position(['completed', 'skipped', 'timed_out', 'failed'], {state('status')}), 9) AS rank,
+  coalesce(try_cast({micros('timestamp_utc')} AS BIGINT), -4611686018427387904) AS instant FROM manifest)
+SELECT min(record_id) AS first_id, arg_min(record_id, (rank, -instant, record_id)) AS survivor_id FROM r WHERE file IS NOT NULL GROUP BY file HAVING min(record_id) <> max(record_id)"""
+
+
 def p1_found(spark: SparkSession, path: str) -> DataFrame:
     """Runs of blank slices inside oversized images."""
     return blank_runs(table(spark, path, "trace_result"), table(spark, path, "scanner"))
@@ -63,4 +69,4 @@ def p9_rates(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_survivors, p7_pack, p7_fill, p8_mixture, p8_shares, p9_found, p9_rates)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p3_found": P3}
