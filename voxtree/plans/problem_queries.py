@@ -9,6 +9,7 @@ from voxtree.operators.hierarchy import hierarchy
 from voxtree.operators.incremental import pending
 from voxtree.operators.swc_lines import parse_swc_lines
 from voxtree.operators.units import file_units, foreign_units, to_micrometres
+from voxtree.plans import problem_sql
 from voxtree.plans.tables import table
 
 
@@ -55,4 +56,4 @@ def p6_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p4_found, p5_found, p5_hierarchy, p6_found, p6_nodes)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p2_found": problem_sql.P2, "p4_found": problem_sql.P4, "p5_found": problem_sql.P5, "p6_found": problem_sql.P6}
