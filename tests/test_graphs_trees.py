@@ -21,16 +21,16 @@ def roots_of(n, edges):
     return [top(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_components_and_forest(spark, seed):
+@pytest.mark.parametrize("seed,in_task", [(0, 10**6), (1, 10**6), (1, 0)])
+def test_components_and_forest(spark, seed, in_task):
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)] + [(0, i) for i in range(60, 80)] + [(i, i + 1) for i in range(80, 99)]
     df = spark.createDataFrame([("g", u, v, float(rng.randrange(9)), i) for i, (u, v) in enumerate(edges)], "k string, u bigint, v bigint, w double, edge bigint")
     nodes = spark.range(100).selectExpr("'g' as k", "id as node")
-    got = {r.node: r.component for r in graphs.connected_components(nodes, df, ["k"]).collect()}
+    got = {r.node: r.component for r in graphs.connected_components(nodes, df, ["k"], in_task).collect()}
     want = roots_of(100, edges)
     assert [got[i] for i in range(100)] == want
-    picked = graphs.minimum_spanning_forest(df, ["k"]).collect()
+    picked = graphs.minimum_spanning_forest(df, ["k"], in_task).collect()
     assert len(picked) == 100 - len(set(want)) and roots_of(100, [(r.u, r.v) for r in picked]) == want
     order = sorted((r.w, r.edge) for r in df.collect() if r.u != r.v)
     by = {r.edge: (r.u, r.v) for r in df.collect()}

@@ -2,26 +2,73 @@
 
 Rounds are materialised in the shared folder; their number grows with the logarithm of the longest
 path. A vertex with very many edges is never gathered: every step is an aggregate that combines on the
-map side, or a join with one row per vertex.
+map side, or a join with one row per vertex. What is left of a graph once it has at most ``IN_TASK`` edges is
+finished by one task; larger graphs go on in rounds, with the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxtree.session import materialize, release
 
+#: Edges that one task takes: some 50 MB.
+IN_TASK = 500_000
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _graphs(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """A number for the graph of each row."""
+    return pdf.groupby(list(keys), dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
+
+
+def _stars(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, u, v): each node u of a component with its smallest node v < u, found in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if not held:
+            return
+        pdf = pd.concat(held, ignore_index=True)
+        graph = np.r_[_graphs(pdf, keys), _graphs(pdf, keys)]
+        node = np.r_[pdf["u"].to_numpy(), pdf["v"].to_numpy()]
+        order = np.lexsort((node, graph))
+        new = np.r_[True, (graph[order][1:] != graph[order][:-1]) | (node[order][1:] != node[order][:-1])]
+        place = np.empty(len(node), np.int64)
+        place[order] = np.cumsum(new) - 1
+        a, b = place[: len(pdf)], place[len(pdf) :]
+        root = np.arange(int(new.sum()))
+        while (apart := root[a] != root[b]).any():
+            low, high = np.minimum(root[a], root[b])[apart], np.maximum(root[a], root[b])[apart]
+            np.minimum.at(root, high, low)
+            while not np.array_equal(root, above := root[root]):
+                root = above
+        first = order[new]  # a row for each node, smallest first within its graph
+        out = pdf[list(keys)].iloc[first % len(pdf)].reset_index(drop=True)
+        out["u"], out["v"] = node[first], node[first][root]
+        yield out[out["u"] != out["v"]]
+
+    return links.coalesce(1).mapInPandas(run, _schema(links))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), in_task: int = IN_TASK) -> DataFrame:
     """keys, node, component: the smallest node that each node is connected to. Alternating star
     contractions (Kiveris et al., SoCC 2014)."""
     k = list(keys)
     links = materialize(edges.where("u <> v").select(*k, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
     while True:
+        if links.count() <= in_task:
+            links = _stars(links, keys)
+            break
         both = links.unionByName(links.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*k, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # every larger neighbour is hung on the smallest of the neighbourhood
@@ -60,21 +107,54 @@ def distinct_edges(edges: DataFrame, keys: Sequence[str] = (), keep: str = "firs
     return found.select(*keys, "u", "v", "r.*")
 
 
-def minimum_spanning_forest(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def _lightest(live: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Kruskal's choice among edges between components cu and cv, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if not held:
+            return
+        pdf = pd.concat(held, ignore_index=True)
+        pdf["_g"] = _graphs(pdf, keys)
+        pdf = pdf.sort_values(["_g", "w", "edge"], ignore_index=True)
+        root: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def top(n: tuple[int, int]) -> tuple[int, int]:
+            while (up := root.get(n, n)) != n:
+                root[n] = root.get(up, up)
+                n = up
+            return n
+
+        keep = np.zeros(len(pdf), bool)
+        for i, (g, a, b) in enumerate(zip(pdf["_g"].tolist(), pdf["cu"].tolist(), pdf["cv"].tolist(), strict=True)):
+            a, b = top((g, a)), top((g, b))
+            if a != b:
+                root[a] = b
+                keep[i] = True
+        yield pdf[keep].drop(columns="_g")
+
+    return live.coalesce(1).mapInPandas(run, _schema(live))
+
+
+def minimum_spanning_forest(edges: DataFrame, keys: Sequence[str] = (), in_task: int = IN_TASK) -> DataFrame:
     """The edges (u, v, w, edge) of the minimum spanning forest, equal weights by smaller ``edge``;
     Borůvka's rounds, each of which at least halves the trees."""
     k = list(keys)
     every = materialize(edges.where("u <> v").select(*k, "u", "v", "w", "edge"))
     live = every.select("*", F.col("u").alias("cu"), F.col("v").alias("cv"))
     chosen = None
-    while not live.isEmpty():
+    while left := live.count():
+        if left <= in_task:
+            new = _lightest(live, keys).select(*k, "u", "v", "w", "edge")
+            chosen = new if chosen is None else chosen.unionByName(new)
+            break
         out = live.select(*k, F.col("cu").alias("c"), "w", "edge").unionByName(live.select(*k, F.col("cv").alias("c"), "w", "edge"))
         best = out.groupBy(*k, "c").agg(F.min(F.struct("w", "edge")).alias("b")).select(*k, F.col("b.edge").alias("edge")).distinct()
         picked = materialize(live.join(best, [*k, "edge"], "left_semi"))
         new = picked.select(*k, "u", "v", "w", "edge")
         chosen = new if chosen is None else chosen.unionByName(new)
         ends = live.select(*k, F.explode(F.array("cu", "cv")).alias("node"))
-        joined = materialize(connected_components(ends, picked.select(*k, F.col("cu").alias("u"), F.col("cv").alias("v")), keys))
+        joined = materialize(connected_components(ends, picked.select(*k, F.col("cu").alias("u"), F.col("cv").alias("v")), keys, in_task))
         a = joined.select(*k, F.col("node").alias("cu"), F.col("component").alias("a"))
         b = joined.select(*k, F.col("node").alias("cv"), F.col("component").alias("b"))
         following = live.join(a, [*k, "cu"]).join(b, [*k, "cv"]).where("a <> b").select(*k, "u", "v", "w", "edge", F.col("a").alias("cu"), F.col("b").alias("cv"))

@@ -326,3 +326,56 @@ def template_scores(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.coalesce(F.avg(F.when(F.col("w") < 0, F.col("s"))), F.lit(0.0)).alias("mean_outside"),
         F.when(spread > 0, F.sum(ds * dw) / F.sqrt(spread)).otherwise(0.0).alias("correlation"),
     )
+
+
+# ---- graphs and shapes of voxels ----
+
+
+def maximum_filter(vox: DataFrame, offsets: Sequence[tuple[int, int, int]], keys: Sequence[str] = ()) -> DataFrame:
+    """Voxels above 0 and above all of the listed (z, y, x) neighbours that there are. For any footprint: each voxel
+    is sent to as many places as it has offsets, combined on the map side."""
+    steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o, strict=True)]) for o in offsets])
+    sent = vox.select(*keys, *[F.col(a).alias(f"_{a}") for a in AXES], "v", F.inline(steps)).select(*keys, *[(F.col(f"_{a}") - F.col(f"d{a}")).alias(a) for a in AXES], "v")
+    best = sent.groupBy(*keys, *AXES).agg(F.max("v").alias("_best"))
+    return vox.join(best, [*keys, *AXES], "left").where((F.col("v") > 0) & (F.col("_best").isNull() | (F.col("v") > F.col("_best")))).select(*vox.columns)
+
+
+def lattice_edges(vox: DataFrame, threshold: float, scale: float, keys: Sequence[str] = ()) -> DataFrame:
+    """u < v, w: links of all voxels to their later 26 neighbours with the cost of the way between."""
+    from voxtree.functions.geometry import voxel_weight
+
+    base = vox.select(*keys, *AXES, "v", _raster_id(vox, keys).alias("_id"))
+    offsets = [o for o in itertools.product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
+    steps = F.array(*[F.struct(F.lit(float(sum(map(abs, o))) ** 0.5).alias("step"), *[F.lit(d).alias(f"d{a}") for a, d in zip(AXES, o, strict=True)]) for o in offsets])
+    far = base.select(*keys, F.col("_id").alias("u"), F.col("v").alias("a"), *[F.col(c).alias(f"_{c}") for c in AXES], F.inline(steps))
+    far = far.select(*keys, "u", "a", "step", *[(F.col(f"_{c}") + F.col(f"d{c}")).alias(c) for c in AXES])
+    met = far.join(base.select(*keys, *AXES, F.col("_id").alias("v"), F.col("v").alias("b")), [*keys, *AXES])
+    return met.select(*keys, "u", "v", voxel_weight(F.col("step"), F.col("a"), F.col("b"), F.lit(threshold), F.lit(scale)).alias("w"))
+
+
+def face_voxels(vox: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """Voxels on a face, with ``faces``: on how many (1 face, 2 edge, 3 corner). Every dimension is at least two."""
+    if min(shape) < 2:
+        raise ValueError("faces need two voxels along every axis")
+    on = sum((F.col(a).isin(0, n - 1).cast("int") for a, n in zip(AXES, shape, strict=True)), F.lit(0))
+    return vox.withColumn("faces", on).where("faces > 0")
+
+
+def segment_voxels(segments: DataFrame) -> DataFrame:
+    """id, x, y, z: the distinct whole points of segments (r, s, len, theta, psi, sx, sy, sz)."""
+    from voxtree.functions.geometry import rotate
+
+    rx, ry = F.greatest(F.col("r") * F.col("s"), F.lit(1e-8)), F.greatest(F.col("r"), F.lit(1e-8))
+    reach = lambda c: F.sequence(-F.ceil(c).cast("int"), F.ceil(c).cast("int"))
+    disc = segments.withColumn("_x", F.explode(reach(rx))).withColumn("_y", F.explode(reach(ry))).where(F.pow(F.col("_x") / rx, 2) + F.pow(F.col("_y") / ry, 2) <= 1)
+    full = disc.withColumn("_z", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("len") - 1, F.lit(0))).cast("int"))))
+    local = tuple(F.col(c).cast("double") for c in ("_x", "_y", "_z"))
+    world = rotate(local, F.col("theta"), F.col("psi"))
+    return full.select("id", *[F.rint(w + F.col(f"s{a}")).cast("int").alias(a) for a, w in zip("xyz", world, strict=True)]).distinct()
+
+
+def path_lengths(points: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """keys and the length of the line through px, py, pz in order."""
+    line = Window.partitionBy(*keys).orderBy(order)
+    step = sum((F.pow(F.col(f"p{a}") - F.lag(f"p{a}").over(line), 2) for a in ("x", "y", "z")), F.lit(0.0))
+    return points.withColumn("_d", F.sqrt(step)).groupBy(*keys).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length"))

@@ -630,3 +630,76 @@ def progress_windows(spark, path):
 
     e = table(spark, path, "events").select(F.lit("all").alias("input_path"), F.col("event_type").alias("stage"), F.col("user_id").alias("current"), F.lit(1).alias("total"), F.col("ts").cast("timestamp").alias("at"))
     return progress_by_stage(e, "1 hour").select(F.col("since").cast("timestamp_ntz").alias("since"), "stage", "current", "n_events")
+
+
+@query()
+def chain_connect(spark, path):
+    """The connections between chains of every image."""
+    return _links_of(spark, path)
+
+
+def _links_of(spark: SparkSession, path: str) -> DataFrame:
+    from voxtree.operators.tracing import connections, stored_images
+
+    images = stored_images(table(spark, path, "trace_result"))
+    return connections(images.repartition(4 * spark.sparkContext.defaultParallelism))
+
+
+@query()
+def geodesic_path(spark, path):
+    """The cheapest way from the brightest voxel of the first slice to that of the last, of every image."""
+    from voxtree.operators.tracing import end_to_end_paths, stored_images
+
+    images = stored_images(table(spark, path, "trace_result"))
+    return end_to_end_paths(images.repartition(4 * spark.sparkContext.defaultParallelism))
+
+
+# ---- more shapes ----
+
+_SIX = [(0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0), (1, 0, 0), (-1, 0, 0)]
+
+
+@query(f"""WITH {VOL}, n AS (SELECT z - dz AS z, y - dy AS y, x - dx AS x, max(v) AS best FROM vol, (VALUES (0,0,1),(0,0,-1),(0,1,0),(0,-1,0),(1,0,0),(-1,0,0)) o(dz, dy, dx) GROUP BY 1, 2, 3)
+SELECT z, y, x, v FROM vol LEFT JOIN n USING (z, y, x) WHERE v > 0 AND (best IS NULL OR v > best)""")
+def max_filter_6(spark, path):
+    return voxels.maximum_filter(volume(spark, path), _SIX)
+
+
+@query(f"""WITH {VOL}, o AS (SELECT dz, dy, dx FROM (VALUES (-1),(0),(1)) i(dz), (VALUES (-1),(0),(1)) j(dy), (VALUES (-1),(0),(1)) k(dx) WHERE (dz, dy, dx) > (0, 0, 0))
+SELECT a.z::BIGINT * 1099511627776 + a.y::BIGINT * 1048576 + a.x AS u, b.z::BIGINT * 1099511627776 + b.y::BIGINT * 1048576 + b.x AS v,
+round(sqrt(abs(dz) + abs(dy) + abs(dx)) * (1 / (1 + exp((a.v - 60.0) / 5)) + 1 / (1 + exp((b.v - 60.0) / 5)) + 1e-5), 6) AS w FROM vol a, o JOIN vol b ON b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx""")
+def lattice_edges(spark, path):
+    return voxels.lattice_edges(volume(spark, path), 60.0, 5.0).select("u", "v", r6(F.col("w")).alias("w"))
+
+
+@query(f"WITH {VOL} SELECT z, y, x, v, CAST((z IN (0, 15))::INT + (y IN (0, 31))::INT + (x IN (0, 31))::INT AS INT) AS faces FROM vol WHERE z IN (0, 15) OR y IN (0, 31) OR x IN (0, 31)")
+def face_voxels(spark, path):
+    return voxels.face_voxels(volume(spark, path), SHAPE)
+
+
+@query(f"""WITH {SEG}, g AS (SELECT id, theta, psi, sx, sy, sz, i AS gx, j AS gy, k AS gz FROM seg, range(-11, 12) a(i), range(-6, 7) b(j), range(11) c(k) WHERE (i / (r * s)) ** 2 + (j / r) ** 2 <= 1)
+SELECT DISTINCT id, CAST(round_even(gx * cos(psi) - (gy * cos(theta) - gz * sin(theta)) * sin(psi) + sx, 0) AS INT) AS x, CAST(round_even(gx * sin(psi) + (gy * cos(theta) - gz * sin(theta)) * cos(psi) + sy, 0) AS INT) AS y,
+CAST(round_even(gy * sin(theta) + gz * cos(theta) + sz, 0) AS INT) AS z FROM g""")
+def rasterize_segments(spark, path):
+    return voxels.segment_voxels(segments(spark, path))
+
+
+@query(f"""WITH {SEG}, d AS (SELECT id // 50 AS chain, sqrt((sx - lag(sx) OVER w) ** 2 + (sy - lag(sy) OVER w) ** 2 + (sz - lag(sz) OVER w) ** 2) AS d FROM seg WINDOW w AS (PARTITION BY id // 50 ORDER BY id))
+SELECT chain, round(coalesce(sum(d), 0), 6) AS length FROM d GROUP BY 1""")
+def chain_path_length(spark, path):
+    s = segments(spark, path).select(F.floor(F.col("id") / 50).alias("chain"), "id", *[F.col(f"s{a}").alias(f"p{a}") for a in "xyz"])
+    return voxels.path_lengths(s, ["chain"], "id").select("chain", r6(F.col("length")).alias("length"))
+
+
+@query(f"""WITH {SEG}, t AS (SELECT id, (theta * 5) % (2 * pi()) AS t, psi * 3 AS p FROM seg)
+SELECT id, round(CASE WHEN t > pi() THEN 2 * pi() - t ELSE t END, 6) AS theta, round((p + CASE WHEN t > pi() THEN pi() ELSE 0 END) % (2 * pi()), 6) AS psi FROM t""")
+def normalize_angles(spark, path):
+    theta, psi = g.normal_angles(F.col("theta") * 5, F.col("psi") * 3)
+    return segments(spark, path).select("id", r6(theta).alias("theta"), r6(psi).alias("psi"))
+
+
+@query(f"WITH {SEG} SELECT min(sx) AS x0, max(sx) AS x1, min(sy) AS y0, max(sy) AS y1, CAST(floor(min(sz) - 1.5) AS BIGINT) AS z0, CAST(ceil(max(sz) + 1.5) AS BIGINT) AS z1 FROM seg")
+def bounding_box(spark, path):
+    return segments(spark, path).agg(
+        F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"), F.floor(F.min("sz") - 1.5).cast("bigint").alias("z0"), F.ceil(F.max("sz") + 1.5).cast("bigint").alias("z1")
+    )
