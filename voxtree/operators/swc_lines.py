@@ -100,9 +100,12 @@ def parse_swc_lines(lines: DataFrame, neurons: DataFrame, default_cols: int = 7)
         F.regexp_extract_all(F.regexp_extract(raw, _BODY, 1), F.lit(r'("[^"]*+"|[^ \t\r\n"]++)'), 1),
         lambda f: F.when(f.startswith('"'), F.substring(f, F.lit(2), F.length(f) - 2)).otherwise(f),
     )
+    # without quotes and comments, as most lines are, a split will do
+    simple = F.split(F.trim(F.translate(raw, "\t\r\n", "   ")), " +")
+    special = raw.contains('"') | raw.contains("#")
     structure = (
         rows.join(widths, "neuron_id", "left")
-        .withColumn("fields", F.when(raw.rlike(SOUND), fields))
+        .withColumn("fields", F.when(~special, simple).when(raw.rlike(SOUND), fields))
         .withColumn("reason", F.when(F.col("fields").isNull(), "quoting").when(F.size("fields") != F.coalesce("_cols", F.lit(default_cols)), "columns"))
         .drop("_cols")
     )
