@@ -116,6 +116,10 @@ def test_rules():
     hook = lambda n, a, b, end, c: connect.Link(a, b, "HL", end, 3, np.zeros(3), np.zeros(3), 0, 0, c)
     links = [hook(0, 0, 1, 0, 0.5), hook(1, 1, 0, 0, 0.4), hook(2, 0, 2, 0, 0.3), hook(3, 0, 3, 0, 0.3), hook(4, 0, 4, 1, 0.9)]
     assert connect.without_redundant(links) == [links[1], links[3], links[4]]
+    line = lambda x: trace.Chain([Tube(1, np.array([x + 10.0 * k, 0, 0]), math.pi / 2, math.pi / 2) for k in range(2)])
+    on, side = connect.Link(0, 1, "LINK", 1, 0, np.zeros(3), np.zeros(3), 2.0, 0, 0.5), connect.Link(0, 2, "HL", 1, 1, np.zeros(3), np.zeros(3), 2.0, 0, 0.5)
+    connect.penalise_crossovers([on, side], [line(0.0), line(22.0), line(50.0)])
+    assert (on.cost, side.cost) == (0.5, 1.5)
     assert connect.spanning_forest(4, [(0, 1, 0.0), (1, 2, 5.0), (0, 2, 1.0), (2, 1, 0.5)]) == [(0, 1), (1, 2)]
     chain = trace.Chain([Tube(1, np.array([10.0 * k, 0, 0]), math.pi / 2, math.pi / 2, heading="forward") for k in range(3)])
     assert chain.points()[0][:, 0].round(6).tolist() == [0, 10, 20, 30] and chain.path_length == pytest.approx(30)
