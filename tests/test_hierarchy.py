@@ -72,3 +72,22 @@ def test_descendants(spark):
     df = spark.createDataFrame([(1, 1, None, None, "", ""), (1, 2, 1, None, "", ""), (1, 3, 2, None, "", ""), (1, 4, 1, None, "", "")], S)
     found = descendants(hierarchy(df), spark.createDataFrame([(1, 2), (1, 1)], "neuron_id bigint, node_id int"))
     assert sorted((r.ancestor_id, r.node_id) for r in found.collect()) == [(1, 2), (1, 3), (1, 4), (2, 3)]
+
+
+def test_many_tasks(spark):
+    """Trees stay whole in their tasks after the large ones are set apart."""
+    rows = [r for seed in range(4) for r in ((None if r[0] is None else r[0] * 10 + seed, *r[1:]) for r in sample(seed))]
+    df = spark.createDataFrame([(*r, "p", "q") for r in rows], S.replace("loaded_at timestamp", "loaded_at string")).selectExpr("* except (loaded_at)", "cast(loaded_at as timestamp) loaded_at")
+    hot = spark.range(1, 400).selectExpr("cast(7 as bigint) neuron_id", "cast(id as int) node_id", "cast(id - 1 as int) parent_id", "'p' path", "'q' root_id", "timestamp'2026-01-01' loaded_at")
+    # joins are planned as sorted ones and become broadcasts at run time, as they do on larger tables
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for source in (df.repartition(5), df.unionByName(hot).repartition(5)):
+            got = {(r.neuron_id, r.node_id): (r.parent_id, r.root_id, r.depth, r.cycle_id) for r in hierarchy(source, block_rows=150).where("neuron_id <> 7").collect()}
+            assert got == {k: w[:4] for k, w in brute(rows).items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

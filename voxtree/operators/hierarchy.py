@@ -156,7 +156,7 @@ def _whole_trees(paths: bool, only_endless: bool):
                 continue
             table = pa.Table.from_batches(held)
             ids = table["neuron_id"].to_numpy()
-            cut = int(np.searchsorted(ids, ids[-1]))  # rows come sorted; the last tree may go on
+            cut = len(ids) - int(np.argmax(np.r_[ids[::-1] != ids[-1], True]))  # rows of a tree are together; the last may go on
             if cut:
                 yield from _forest(table.slice(0, cut), paths, only_endless)
                 held, rows = table.slice(cut).to_batches(), table.num_rows - cut
@@ -183,7 +183,10 @@ def hierarchy(nodes: DataFrame, paths: bool = False, only_endless: bool = False,
     large = sizes.where(F.col("count") > block_rows)
     biggest = large.agg(F.max("count")).first()[0]
     small = links if biggest is None else links.join(large, "neuron_id", "left_anti")
-    blocks = small.repartition("neuron_id").sortWithinPartitions("neuron_id").mapInArrow(_whole_trees(paths, only_endless), _schema(paths))
+    # a key of its own: a shuffle by the tree's id would be dropped as done after the join above, and that join may
+    # become a broadcast at run time, whose rows are neither together nor in order
+    whole = small.withColumn("_task", F.xxhash64("neuron_id")).repartition("_task").sortWithinPartitions("_task", "neuron_id")
+    blocks = whole.mapInArrow(_whole_trees(paths, only_endless), _schema(paths))
     if biggest is None:
         return blocks
     return blocks.unionByName(_doubling(links.join(large.select("neuron_id"), "neuron_id", "left_semi"), biggest, paths, only_endless))

@@ -60,7 +60,7 @@ def write_swc(nodes: DataFrame, directory: str, key: str = "neuron_id", order: s
     rows = nodes.select(key, F.col(order).cast("bigint").alias("_at"), swc_lines(nodes).alias("value"))
     heads = nodes.select(key).distinct().select(key, F.lit(-(2**62)).alias("_at"), header.alias("value"))
     both = heads.unionByName(rows)
-    both.repartition(key).sortWithinPartitions(key, "_at").select(key, "value").write.mode("errorifexists").partitionBy(key).text(directory)
+    both.withColumn("_task", F.xxhash64(key)).repartition("_task").sortWithinPartitions(key, "_at").select(key, "value").write.mode("errorifexists").partitionBy(key).text(directory)
 
 
 def swc_text(nodes: Sequence[Sequence[float]]) -> str:
