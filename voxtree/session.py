@@ -7,8 +7,7 @@ no folder (tests, a laptop) is one made under the local temporary directory.
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import io
 import tempfile
 import uuid
 import weakref
@@ -47,13 +46,17 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="voxtree-")  # the driver serves the file as long as it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    name = f"{folder}/voxtree.zip"
-    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+    root, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
+    name = f"{shared_dir(spark)}/packages/{uuid.uuid4().hex}/voxtree.zip"
+    at = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    out = files.create(at)
+    out.write(held.getvalue())
+    out.close()
+    files.deleteOnExit(at)
     context.addPyFile(name)
     _shipped.add(context.applicationId)
 
