@@ -114,6 +114,23 @@ def test_tree_tables(spark):
     cable = {r.neuron_id: r.cable for r in trees.cable_lengths(nodes).collect()}
     for n in (1, 2):
         assert cable[n] == pytest.approx(sum(np.linalg.norm(at[k] - at[p]) for k, p in up.items() if k[0] == n and p in at))
-    assert keys(trees.remove_spurs(nodes)) == keys(trees.per_neuron(nodes, f.remove_spurs))
+    assert keys(trees.remove_spurs(nodes)) == keys(trees.per_tree(nodes, f.remove_spurs))
     assert trees.postprocess(nodes).count() <= nodes.count() and trees.trunk_lengths(nodes).count() == len(trees.roots(nodes).collect())
-    assert trees.per_neuron(nodes.limit(0), f.postprocess).count() == 0
+    assert trees.per_tree(nodes.limit(0), f.rewrite).count() == 0 and trees.postprocess(nodes.limit(0)).count() == 0
+
+
+def test_trees_as_one_neuron(spark):
+    """Passes by tree give what they give on the whole neuron."""
+    rng = random.Random(4)
+    rows = []
+    for tree in range(14):
+        base = 100 * tree
+        for i in range(40 if tree % 3 else 6):
+            up = None if i == 0 else base + max(0, i - rng.choice([1, 1, 1, 2, 5]))
+            x = i * 0.9 + rng.random()
+            rows.append((1, base + i, 0, x, rng.random() * 2 + tree * 20, rng.random(), rng.uniform(0.2, 1.5), up))
+    nodes = spark.createDataFrame(rows, "neuron_id bigint, node_id int, node_type int, x double, y double, z double, radius double, parent_id int")
+    whole = f.Forest.of([r[1] for r in rows], [0] * len(rows), np.array([r[3:6] for r in rows]), [r[6] for r in rows], [r[7] for r in rows])
+    got = {(r.node_id, r.parent_id) for r in trees.postprocess(nodes).collect()}
+    want = f.postprocess(whole)
+    assert got == {(i, p) for i, p in want.parent.items()} and 0 < len(got) < len(rows)

@@ -1,14 +1,13 @@
 """Skeleton forests as tables (neuron_id, node_id, node_type, x, y, z, radius, parent_id).
 
 Relational where the result does not depend on an order of visits; passes that rewrite a tree while
-walking it run on one neuron at a time (``per_neuron``).
+walking it run on one tree at a time (``per_tree``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from voxtree.functions.geometry import distance, vector
 from voxtree.kernels import forest
 from voxtree.operators.hierarchy import hierarchy
+from voxtree.session import materialize
 
 KEY = ["neuron_id", "node_id"]
 _TYPES = "neuron_id bigint, node_id int, node_type int, x double, y double, z double, radius double, parent_id int"
@@ -80,63 +80,69 @@ def ends_as_roots(ends: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.join(roots(nodes).select(*KEY), KEY, "left_semi").select(*nodes.columns)
 
 
-def per_neuron(nodes: DataFrame, function: Callable[[forest.Forest], forest.Forest]) -> DataFrame:
-    """A rewriting pass on each neuron; row order is that of node ids."""
+def with_tree(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with tree_id: their root, or the smallest node of the cycle above them."""
+    labels = hierarchy(nodes.select(*KEY, "parent_id", F.lit(None).cast("timestamp").alias("loaded_at")))
+    return nodes.join(labels.select(*KEY, F.coalesce("root_id", "cycle_id").alias("tree_id")), KEY)
+
+
+def _forest(pdf: pd.DataFrame) -> forest.Forest:
+    pdf = pdf.sort_values("node_id")
+    return forest.Forest.of(pdf["node_id"], pdf["node_type"], pdf[["x", "y", "z"]], pdf["radius"], pdf["parent_id"])
+
+
+def per_tree(nodes: DataFrame, function: Callable[[forest.Forest], forest.Forest]) -> DataFrame:
+    """A rewriting pass on each tree, children in the order of node ids. Trees don't touch each other in these passes,
+    so a neuron with very many nodes is as many groups as it has roots."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        out = function(forest.Forest.of(pdf["node_id"], pdf["node_type"], pdf[["x", "y", "z"]], pdf["radius"], pdf["parent_id"]))
-        frame = out.frame()
+        frame = function(_forest(pdf)).frame()
         frame.insert(0, "neuron_id", pdf["neuron_id"].iloc[0])
         return frame
 
-    return nodes.groupBy("neuron_id").applyInPandas(run, _TYPES)
+    return with_tree(nodes).groupBy("neuron_id", "tree_id").applyInPandas(run, _TYPES)
 
 
 def remove_zigzags(nodes: DataFrame) -> DataFrame:
-    return per_neuron(nodes, forest.remove_zigzags)
+    return per_tree(nodes, forest.remove_zigzags)
 
 
 def tune_branches(nodes: DataFrame) -> DataFrame:
-    return per_neuron(nodes, forest.tune_branches)
+    return per_tree(nodes, forest.tune_branches)
 
 
 def merge_close(nodes: DataFrame, threshold: float = 0.01) -> DataFrame:
-    return per_neuron(nodes, lambda f: forest.merge_close(f, threshold))
+    return per_tree(nodes, lambda f: forest.merge_close(f, threshold))
 
 
 def remove_overshoots(nodes: DataFrame) -> DataFrame:
-    return per_neuron(nodes, forest.remove_overshoots)
+    return per_tree(nodes, forest.remove_overshoots)
 
 
 def downsample(nodes: DataFrame) -> DataFrame:
-    return per_neuron(nodes, forest.downsample)
-
-
-def remove_short_trees(nodes: DataFrame) -> DataFrame:
-    return per_neuron(nodes, forest.remove_short_trees)
-
-
-def postprocess(nodes: DataFrame) -> DataFrame:
-    """All passes in their order."""
-    return per_neuron(nodes, forest.postprocess)
+    return per_tree(nodes, forest.downsample)
 
 
 def trunk_lengths(nodes: DataFrame) -> DataFrame:
     """neuron_id, root_id, trunk: the geodesic of the pair of ends with the largest mix of geodesic and
-    straight distance."""
+    straight distance. A tree's cycle, if it has one, is opened at its smallest node."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        f = forest.Forest.of(pdf["node_id"], pdf["node_type"], pdf[["x", "y", "z"]], pdf["radius"], pdf["parent_id"])
-        found = [(int(r), forest.trunk_length(f, r)) for r in f.roots()]
-        frame = pd.DataFrame(found, columns=["root_id", "trunk"])
-        frame.insert(0, "neuron_id", pdf["neuron_id"].iloc[0])
-        return frame
+        f = _forest(pdf)
+        found = [(pdf["neuron_id"].iloc[0], int(r), forest.trunk_length(f, r)) for r in f.roots()]
+        return pd.DataFrame(found, columns=["neuron_id", "root_id", "trunk"])
 
-    return nodes.groupBy("neuron_id").applyInPandas(run, "neuron_id bigint, root_id int, trunk double")
+    return with_tree(nodes).groupBy("neuron_id", "tree_id").applyInPandas(run, "neuron_id bigint, root_id int, trunk double")
 
 
-def to_array(frame: pd.DataFrame) -> np.ndarray:
-    """Rows of one neuron as an array of id, type, x, y, z, radius, parent."""
-    return frame[["node_id", "node_type", "x", "y", "z", "radius", "parent_id"]].to_numpy(float)
+def remove_short_trees(nodes: DataFrame, least: int = 10) -> DataFrame:
+    """Of neurons with at least ``least`` trees, the trees whose trunk is not shorter than the neuron's mean."""
+    trunks = trunk_lengths(nodes).withColumnRenamed("root_id", "tree_id")
+    facts = trunks.groupBy("neuron_id").agg(F.count(F.lit(1)).alias("_n"), F.avg("trunk").alias("_mean"))
+    short = trunks.join(facts, "neuron_id").where((F.col("_n") >= least) & (F.col("trunk") < F.col("_mean"))).select("neuron_id", "tree_id")
+    return with_tree(nodes).join(short, ["neuron_id", "tree_id"], "left_anti").select(*nodes.columns)
+
+
+def postprocess(nodes: DataFrame) -> DataFrame:
+    """All passes in their order."""
+    return remove_short_trees(materialize(per_tree(nodes, forest.rewrite)))  # three plans read it
