@@ -70,3 +70,21 @@ def test_every_range_edge(spark):
 def test_more_kinds():
     assert kind_of("# settings of the run\na:\n  b: 1\n  c: two words here.\n  not") == "yaml"
     assert [ending(t) for t in ("# c.\na:\n  b: 1\n  not", "const t = [\n  [0x1, 2],\n  [0x", "<!-- x -->\n<p>Whole.</p>\n<div clas")] == ["open"] * 3
+
+
+def test_any_longer_text_counts(spark):
+    """Between a cut text and the whole one stand another cut and a copy that goes on at a line break."""
+    a = "import x\n\ndef f(a):\n    y = call(a)"
+    rows = [a, a + ".va", a + "\n    return y\n", a + ".value\n    return y\n"]
+    deep = ["note " * 6 + "(a)" * k for k in (1, 2, 3)] + ["note " * 6 + "(a)" * 3 + ".\nMore."]
+    data = [(i, t, "s", "", "") for i, t in enumerate([*rows, *deep])]
+    df = spark.createDataFrame(data + [(100 + i, a, "s", "", "") for i in range(30)], S)
+    for n in ("1", "7", "37"):  # one range, and so many that the texts stand in different ones
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = {r.doc_id for r in judged(df).where("evidence = 'prefix'").collect()}
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == {0, 1, 4, 5, 6, *range(100, 130)}

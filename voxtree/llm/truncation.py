@@ -2,9 +2,10 @@
 
 What may stand behind a break (white space, dots, a note of the transfer, a broken character) is taken
 off, and the distinct rests are sorted. In sorted order every text that has a given one as a strict
-prefix follows it without a gap, so that one comparison with the next distinct text finds every text
-that a longer copy elsewhere carries on, by more than the line; ranges of the order are compared in parallel and their edges
-afterwards. The same test by prefix is made for last words: a last word that hardly occurs as a word of
+prefix follows it without a gap, so that one pass with a stack of the prefixes that are still open
+compares each text with all that carry it on; one that does so inside the line, and by more than the
+line, is enough. Ranges of the order are compared in parallel: each names the prefixes that it leaves
+open and what its texts do to the prefixes of its first one, which are compared afterwards. The same test by prefix is made for last words: a last word that hardly occurs as a word of
 its own but is a strict prefix of a common one was cut. Most cut texts have no longer copy; these are
 found by the grammar of their own end (``endings``), with the test of words where the grammar leaves it
 open.
@@ -22,7 +23,8 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtree.llm.endings import ending
@@ -34,51 +36,90 @@ AFTER = rf"(?i)(?:[\s\x{{FFFD}}…]++|\.{{3}}|\[(?:{_NOTE})[^\]\n]{{0,30}}\]|<(?
 #: Shorter texts are prefixes of others by chance.
 LEAST = 20
 _END = 200
-_SCHEMA = "doc_id bigint, blank boolean, endless boolean, verdict string, word string, phrase boolean, line int, text_key int, edge string, last_run boolean"
+_SCHEMA = (
+    "doc_id bigint, blank boolean, endless boolean, verdict string, word string, phrase boolean, line int, text_key int, part int, open int, "
+    "first string, last string, opens array<int>, reach int, at array<int>"
+)
 _RUN = re.compile(r"[a-z]+\Z")
 #: A compound word that stops with the first letter of its next part.
 _HUMP = re.compile(r"[A-Z][a-z]+[A-Z]\Z")
 
 
+class _Head:
+    """What the texts of a range do to the prefixes of its first one; those left open by earlier ranges are
+    among these."""
+
+    def __init__(self, first: str) -> None:
+        self.first, self.shared, self.reach, self.at = first, first, first.rfind("\n"), set[int]()
+
+    def add(self, body: str) -> None:
+        """A later text: it shares no more of the first one than those before it."""
+        if not body.startswith(self.shared):
+            low, high = 0, len(self.shared)
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if body.startswith(self.shared[:middle]) else (low, middle)
+            self.shared = self.shared[:low]
+        n = len(self.shared)
+        if n >= LEAST and body.find("\n", n) >= 0:
+            self.reach = max(self.reach, n)
+            if body[n] not in "\r\n":
+                self.at.add(n)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (body, doc_id) → a row for each document; the first two and the last distinct bodies of the
-    range come as rows without a document."""
+    """Sorted (body, doc_id) → a row for each document, and one without a document for the range: its first
+    and last body, the lengths of the last one's prefixes that are open, the length of the first one below
+    which its prefixes go on to a line break, and the lengths at which another body goes on so."""
+    context = TaskContext.get()
+    part = context.partitionId() if context else 0
     out: list[tuple] = []
-    current: str | None = None
-    ids: list[tuple[int | None, bool]] = []
-    distinct = 0
-
-    def close(following: str | None) -> None:
-        rest = following[len(current) :] if following is not None and following.startswith(current) else "\n"
-        inside = len(current) >= LEAST and rest[0] not in "\r\n" and "\n" in rest
-        word = _RUN.search(current)
-        verdict = "open" if inside else ending(current)
-        if verdict in ("word", "line") and _HUMP.search(current):
+    head: _Head | None = None
+    current = ""
+    # the prefixes of the current body, shortest first, and itself: length, whether a longer text carries it on, documents
+    stack: list[list] = []
+
+    def close(is_last: bool) -> None:
+        size, inside, ids = stack.pop()
+        text = current[:size]
+        word = _RUN.search(text)
+        verdict = "open" if inside else ending(text)
+        if verdict in ("word", "line") and _HUMP.search(text):
             verdict = "open"
-        line = current[current.rfind("\n") + 1 :].strip()
-        facts = (inside, verdict, word[0] if word else None, " " in line, crc32(line.encode("utf-8", "replace")) - 2**31, crc32(current.encode("utf-8", "replace")) - 2**31)
-        is_last = following is None
-        out.extend((*i, *facts, current if is_last and k == 0 else None, is_last) for k, i in enumerate(ids))
+        line = text[text.rfind("\n") + 1 :].strip()
+        facts = (inside, verdict, word[0] if word else None, " " in line, crc32(line.encode("utf-8", "replace")) - 2**31, crc32(text.encode("utf-8", "replace")) - 2**31)
+        at_edge = size if is_last and not inside and size >= LEAST else None
+        out.extend((*i, *facts, part, at_edge, None, None, None, None, None) for i in ids)
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out:
-            types = (pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+            numbers = pa.list_(pa.int32())
+            types = (pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), *[pa.int32()] * 4, pa.string(), pa.string(), numbers, pa.int32(), numbers)
             names = [f.strip().split(" ")[0] for f in _SCHEMA.split(",")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
             out.clear()
 
     for batch in batches:
         for body, *doc in zip(*(batch[c].to_pylist() for c in ("body", "doc_id", "blank")), strict=True):
-            if body != current:
-                if current is not None:
-                    close(body)
-                current, ids, distinct = body, [], distinct + 1
-                if distinct <= 2:
-                    out.append((None,) * 8 + (body, None))
-            ids.append(tuple(doc))
+            if not stack or body != current:
+                while stack and not body.startswith(current[: stack[-1][0]]):
+                    close(False)
+                for entry in stack:
+                    n = entry[0]
+                    entry[1] = entry[1] or (n >= LEAST and body[n] not in "\r\n" and body.find("\n", n) >= 0)
+                if head:
+                    head.add(body)
+                else:
+                    head = _Head(body)
+                current = body
+                stack.append([len(body), False, []])
+            stack[-1][2].append(tuple(doc))
         yield from flush()
-    if current is not None:
-        close(None)
+    if head:
+        opens = [n for n, inside, _ in stack if n >= LEAST and not inside]
+        while stack:
+            close(True)
+        out.append((None,) * 8 + (part, None, head.first, current if opens else None, opens, head.reach, sorted(head.at)))
     yield from flush()
 
 
@@ -118,13 +159,14 @@ def judged(documents: DataFrame) -> DataFrame:
     rest = F.expr("substring(text, length(body) + 1)")
     bodies = bodies.select("doc_id", "body", (rest.rlike(r"^[ \t]") & ~rest.contains("\n")).alias("blank"))
     rows = materialize(bodies.repartitionByRange("body", "doc_id").sortWithinPartitions("body", "doc_id").mapInArrow(_neighbours, _SCHEMA))
-    # the last body of a range and the next one after it: no more rows than three a range
-    edges = rows.where("edge is not null").select("edge").distinct()
-    following = edges.withColumn("next", F.lead("edge").over(Window.orderBy("edge")))
-    rest = F.expr("substring(next, length(edge) + 1)")
-    carried = following.where((F.length("edge") >= LEAST) & F.col("next").startswith(F.col("edge")) & ~rest.rlike(r"\A[\r\n]") & rest.contains("\n")).select("edge")
-    at_edge = rows.where("edge is not null and last_run").select("edge", "text_key").join(carried, "edge").select("text_key").distinct().withColumn("over", F.lit(True))
-    rows = rows.where("verdict is not null").drop("edge").join(F.broadcast(at_edge), ["text_key"], "left")
+    # prefixes that a range leaves open, and the ranges whose first body has them: a few rows a range
+    ranges = rows.where("first is not null")
+    left = ranges.select("part", "last", F.explode("opens").alias("open")).withColumn("start", F.expr(f"left(last, {LEAST})"))
+    right = ranges.select(F.expr(f"left(first, {LEAST})").alias("start"), "first", "reach", "at")
+    inside = "substring(first, open + 1, 1) not in ('', '\\r', '\\n') and open < reach"
+    over = left.join(right, "start").where(F.expr("startswith(first, left(last, open))") & F.expr(f"array_contains(at, open) or {inside}"))
+    over = over.select("part", "open").distinct().withColumn("over", F.lit(True))
+    rows = rows.where("verdict is not null").drop("first", "last", "opens", "reach", "at").join(F.broadcast(over), ["part", "open"], "left")
 
     cut = cut_words(texts, rows.where("verdict in ('word', 'line') and word is not null")).withColumn("cut", F.lit(True))
     # a last line of several words that different texts share is a phrase, not a break
@@ -132,7 +174,7 @@ def judged(documents: DataFrame) -> DataFrame:
         rows.where("verdict = 'line' and phrase").groupBy("line").agg(F.count_distinct("text_key").alias("n")).where("n >= 3")
         .select("line", F.lit("line").alias("verdict"), F.lit(True).alias("shared"))
     )
-    prefix = F.col("endless") | (F.coalesce("over", F.lit(False)) & F.col("last_run"))
+    prefix = F.col("endless") | F.coalesce("over", F.lit(False))
     evidence = (
         F.when(prefix, "prefix").when(F.col("verdict") == "open", "grammar").when(F.col("shared") & F.col("phrase"), None).when(F.col("blank") & F.col("verdict").isin("word", "line"), "blank")
         .when(F.col("cut") & F.col("verdict").isin("word", "line"), "word").when(F.col("verdict") == "line", "line")
