@@ -88,3 +88,19 @@ def test_any_longer_text_counts(spark):
             spark.conf.set("spark.sql.adaptive.enabled", "true")
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert got == {0, 1, 4, 5, 6, *range(100, 130)}
+
+
+def test_kind_is_told_from_the_whole_text():
+    import time
+
+    licence = "/*\n" + " * Copies of this work must keep this notice\n" * 200 + " */\n"
+    assert kind_of(licence + CODE) == "code" and ending(licence + "int walk() {\n    foo(a);") == "open" and ending((licence + CODE).rstrip()) == "ends"
+    notes = "# Copies of this work must keep this notice\n" * 200
+    assert kind_of(notes + PY) == "python" and ending(notes + PY + "walk(a") == "open"
+    assert kind_of(PY * 100 + 'q = """\nselect 1;\n"""\n') == "python"
+    # a minified line is not code because of where a head of it would end
+    assert kind_of("a({b:1});" * 443 + "var xy={" + "c(1);d(2)," * 300 + "e") == "minified"
+    began = time.perf_counter()
+    for long in ("\n" * 300_000, " " * 300_000 + "x", ".a{" + "b" * 300_000, ".a{" + "b:" * 150_000, "x\n" * 150_000, "(" * 300_000):
+        kind_of(long)
+    assert time.perf_counter() - began < 10

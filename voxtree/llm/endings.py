@@ -5,7 +5,9 @@
   word   it stops in a word, with nothing to tell whether the word goes on,
   line   its last line is prose without an end of sentence,
   ends   it stops where such texts end.
-The kind of text is told from its content, since names and labels are often wrong.
+The kind of text is told from its content, since names and labels are often wrong, and from the whole of
+it, since a long comment may stand before the first line that tells. The patterns for that take a time in
+proportion to the text.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ import re
 _M, _S, _I = re.MULTILINE, re.DOTALL, re.IGNORECASE
 _HTML = re.compile(r"\s*<(?:!doctype|!--|\?xml|[a-z][a-z0-9]*[\s>/])", _I)
 _JSON = re.compile(r'\s*[\[{]\s*["{\[\]}]')
-_SHELL = re.compile(r'^#!.*sh\b|^\s*(?:local \w+=|fi$|done$|esac$|echo ")', _M)
-_PYTHON = re.compile(r"^\s*(?:(?:async )?def \w+\(.*|class \w+.*):[ \t\r]*$|^from [\w.]+ import |^import [\w.]+[ \t\r]*$", _M)
+_SHELL = re.compile(r'^#!.*sh\b|^[^\S\n]*(?:local \w+=|fi$|done$|esac$|echo ")', _M)
+_PYTHON = re.compile(r"^[^\S\n]*(?:(?:async )?def \w+\(.*|class \w+.*):[ \t\r]*$|^from [\w.]+ import |^import [\w.]+[ \t\r]*$", _M)
 _SEMICOLON = re.compile(r";[ \t\r]*$", _M)
 _STYLE = re.compile(r"^[.#]?[\w-]+(?:\{|\s*\{\s*$)|\}\.[\w-]+\{")
-_PROPERTY = re.compile(r"[\w-]+:\s?[^;{}]+;")
+_BETWEEN = re.compile(r"[^;{}]+;?")
+_PROPERTY = re.compile(r"[\w-]:[^;]")
 _SCRIPT = re.compile(r"function|=>|\bvar\b")
 _BLOCK = re.compile(r"[;{}][ \t\r]*$", _M)
 _KEY = re.compile(r"[ \t]*(?:- )?[\w-]+:(?: \S.*)?\r?\Z|[ \t]*- \S+\r?\Z")
-_TUPLES = re.compile(r"^\s*[(\[{].*[)\]}],[ \t\r]*$", _M)
+_TUPLES = re.compile(r"^[^\S\n]*[(\[{].*[)\]}],[ \t\r]*$", _M)
 _CODE_INERT = re.compile(r'"(?:[^"\\\n]|\\.)*+"|`(?:[^`\\]|\\.)*+`|\'(?:[^\'\\\n]|\\.)*+\'|//[^\n]*+|/\*.*?\*/', _S)
 _PY_INERT = re.compile(r'"""(?:.*?)"""|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|#[^\n]*+', _S)
 _SH_INERT = re.compile(r"\"(?:[^\"\\]|\\.)*+\"|'[^']*+'|(?:^|(?<=\s))#[^\n]*+")
@@ -42,26 +45,25 @@ _NAME = re.compile(r"\w\Z")
 
 def kind_of(text: str) -> str:
     """code, minified, css, json, python, tuples, shell, html, yaml or prose."""
-    head = text[:4000]  # the kind only; what is judged is the whole text
-    if _HTML.match(head):
+    if _HTML.match(text):
         return "html"
-    if _JSON.match(head):
+    if _JSON.match(text):
         return "json"
-    if _SHELL.search(head):
+    if _SHELL.search(text):
         return "shell"
-    semicolons = _SEMICOLON.search(head)
-    if not semicolons and _PYTHON.search(head):
+    # a statement of another language in a string or comment doesn't outweigh the lines of Python
+    if (python := len(_PYTHON.findall(text))) and python > len(_SEMICOLON.findall(text)):
         return "python"
-    if _STYLE.search(head) and _PROPERTY.search(head) and not _SCRIPT.search(head):
+    if _STYLE.search(text) and any(b.endswith(";") and _PROPERTY.search(b) for b in _BETWEEN.findall(text)) and not _SCRIPT.search(text):
         return "css"
-    if _BLOCK.search(head) and re.search(r"[{;(]", head):
+    if _BLOCK.search(text) and re.search(r"[{;(]", text):
         return "code"
     last = text[text.rfind("\n") + 1 :]
     if len(last) > 150 and re.search(r"[;})]\(?[\w$]", last):
         return "minified"
-    if _TUPLES.search(head):
+    if _TUPLES.search(text):
         return "tuples"
-    lines = [ln for ln in head.split("\n")[:-1] if ln.strip() and not ln.lstrip().startswith("#")]
+    lines = [ln for ln in text.split("\n")[:-1] if ln.strip() and not ln.lstrip().startswith("#")]
     if lines and sum(1 for ln in lines if _KEY.match(ln)) > 0.8 * len(lines):
         return "yaml"
     return "prose"
