@@ -104,3 +104,22 @@ def test_kind_is_told_from_the_whole_text():
     for long in ("\n" * 300_000, " " * 300_000 + "x", ".a{" + "b" * 300_000, ".a{" + "b:" * 150_000, "x\n" * 150_000, "(" * 300_000):
         kind_of(long)
     assert time.perf_counter() - began < 10
+
+
+def test_near_copies_share_no_phrase(spark):
+    """Copies of one notice with another year or owner, cut in one line; a word cut in two; a phrase of few among many."""
+    def evidence(texts):
+        return {r.doc_id: r.evidence for r in truncated(spark.createDataFrame([(i, t, "s", "", "") for i, t in enumerate(texts)], S)).collect()}
+
+    years = [f"Notice of {2000 + i}\n{PROSE * 4}Nothing in this paper lets them" for i in range(4)]
+    owners = [f"Notice of {'owner' * (i + 1)}\n{PROSE * 4}Nothing in this paper lets them" for i in range(4)]
+    assert evidence(years) == evidence(owners) == dict.fromkeys(range(4), "line")
+    lines = [f"{PROSE * (i + 1)}\nThey resolve the reco" for i in range(4)] + [f"The record {i} is kept.\n" for i in range(30)]
+    assert evidence(lines) == dict.fromkeys(range(4), "word")
+    phrase = [f"{PROSE * (i + 1)}\nand so on" for i in range(4)] + [f"The one {i} is kept.\n" for i in range(40)] + ["It stands on the one.\n"]
+    assert evidence(phrase) == {}
+    blanks = [f"{PROSE * (i + 1)}\nNothing in this paper lets " for i in range(4)]
+    assert evidence(blanks) == dict.fromkeys(range(4), "blank")
+    phrases = [f"{PROSE * (i + 1)}\nTo be continued" for i in range(3)]
+    whole = [f"Text {i} is whole." for i in range(20_000)]
+    assert evidence(phrases + whole[:10]) == {} and set(evidence(phrases + whole)) == {0, 1, 2}

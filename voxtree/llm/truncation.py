@@ -13,7 +13,9 @@ open.
 Defined results: null and empty texts, and texts of nothing but what may follow a break, are whole; a
 text that a longer copy carries on at a line break, or only to the end of the line, is judged by its grammar
 alone; repeated rows are each
-judged alike. The counts of words and of last lines are over all documents.
+judged alike. The counts of words and of last lines are over all documents; a last line that many
+texts share, near copies counted once, is a phrase and no break, unless a blank or a last
+word that stands nowhere else tells otherwise.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ AFTER = rf"(?i)(?:[\s\x{{FFFD}}…]++|\.{{3}}|\[(?:{_NOTE})[^\]\n]{{0,30}}\]|<(?
 #: Shorter texts are prefixes of others by chance.
 LEAST = 20
 _END = 200
+#: A last line is a phrase from so many texts on that aren't near copies, and from this share of all texts on.
+ALIKE, SHARE = 3, 0.0002
 _SCHEMA = (
-    "doc_id bigint, blank boolean, endless boolean, verdict string, word string, phrase boolean, line int, text_key int, part int, open int, "
+    "doc_id bigint, blank boolean, endless boolean, verdict string, word string, phrase boolean, line int, size int, before int, part int, open int, "
     "first string, last string, opens array<int>, reach int, at array<int>"
 )
 _RUN = re.compile(r"[a-z]+\Z")
@@ -45,6 +49,10 @@ _RUN = re.compile(r"[a-z]+\Z")
 _HUMP = re.compile(r"[A-Z][a-z]+[A-Z]\Z")
 
 
+def _key(text: str) -> int:
+    return crc32(text.encode("utf-8", "replace")) - 2**31
+
+
 class _Head:
     """What the texts of a range do to the prefixes of its first one; those left open by earlier ranges are
     among these."""
@@ -87,14 +95,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if verdict in ("word", "line") and _HUMP.search(text):
             verdict = "open"
         line = text[text.rfind("\n") + 1 :].strip()
-        facts = (inside, verdict, word[0] if word else None, " " in line, crc32(line.encode("utf-8", "replace")) - 2**31, crc32(text.encode("utf-8", "replace")) - 2**31)
+        facts = (inside, verdict, word[0] if word else None, " " in line, _key(line))
+        # near copies with another head have as many characters, or as many lines and the same text before the last one
+        near = (size, _key(f"{text.count('\n')} {text[: size - len(line)][-_END:]}")) if verdict == "line" else (None, None)
         at_edge = size if is_last and not inside and size >= LEAST else None
-        out.extend((*i, *facts, part, at_edge, None, None, None, None, None) for i in ids)
+        out.extend((*i, *facts, *near, part, at_edge, None, None, None, None, None) for i in ids)
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out:
             numbers = pa.list_(pa.int32())
-            types = (pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), *[pa.int32()] * 4, pa.string(), pa.string(), numbers, pa.int32(), numbers)
+            types = (pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), *[pa.int32()] * 5, pa.string(), pa.string(), numbers, pa.int32(), numbers)
             names = [f.strip().split(" ")[0] for f in _SCHEMA.split(",")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
             out.clear()
@@ -119,7 +129,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opens = [n for n, inside, _ in stack if n >= LEAST and not inside]
         while stack:
             close(True)
-        out.append((None,) * 8 + (part, None, head.first, current if opens else None, opens, head.reach, sorted(head.at)))
+        out.append((None,) * 9 + (part, None, head.first, current if opens else None, opens, head.reach, sorted(head.at)))
     yield from flush()
 
 
@@ -136,8 +146,8 @@ def _words(text: Column) -> Column:
 
 
 def cut_words(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """Of ``words`` (word) those that were cut: strict prefixes of a word that occurs in at least five
-    documents, and in five times as many as the word itself."""
+    """Of ``words`` (word) those that were cut, and in how many documents each occurs (own): strict prefixes
+    of a word that occurs in at least five documents, and in five times as many as the word itself."""
     counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("w", F.substring("w", 1, 64)).groupBy("w").agg(F.max("n").alias("n"))
     starts = counts.where("n >= 5").select(
@@ -146,7 +156,7 @@ def cut_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     longer = starts.where("word <> w").groupBy("word").agg(F.max("n").alias("longer"))
     own = counts.select(F.col("w").alias("word"), "n")
     return (
-        words.select("word").distinct().join(longer, "word").join(own, "word", "left").where(F.col("longer") >= 5 * F.coalesce("n", F.lit(1))).select("word")
+        words.select("word").distinct().join(longer, "word").join(own, "word", "left").where(F.col("longer") >= 5 * F.coalesce("n", F.lit(1))).select("word", F.coalesce("n", F.lit(0)).alias("own"))
     )
 
 
@@ -170,14 +180,17 @@ def judged(documents: DataFrame) -> DataFrame:
 
     cut = cut_words(texts, rows.where("verdict in ('word', 'line') and word is not null")).withColumn("cut", F.lit(True))
     # a last line of several words that different texts share is a phrase, not a break
+    all_texts = rows.agg(F.count(F.lit(1)).alias("texts"))
     shared = (
-        rows.where("verdict = 'line' and phrase").groupBy("line").agg(F.count_distinct("text_key").alias("n")).where("n >= 3")
-        .select("line", F.lit("line").alias("verdict"), F.lit(True).alias("shared"))
-    )
+        rows.where("verdict = 'line' and phrase").groupBy("line").agg(F.count_distinct("size").alias("sizes"), F.count_distinct("before").alias("n"), F.count(F.lit(1)).alias("ends")).where(f"sizes >= {ALIKE} and n >= {ALIKE}")
+        .join(F.broadcast(all_texts), F.expr(f"n >= {SHARE} * texts")).select("line", F.lit("line").alias("verdict"), F.lit(True).alias("shared"), "ends")
+    )
+    # in a phrase a last word that also stands elsewhere is whole, be it the start of a common one ("on", "one") or not
+    half = F.col("cut") & F.col("verdict").isin("word", "line") & (F.col("shared").isNull() | ~F.col("phrase") | (F.col("own") <= F.col("ends")))
     prefix = F.col("endless") | F.coalesce("over", F.lit(False))
     evidence = (
-        F.when(prefix, "prefix").when(F.col("verdict") == "open", "grammar").when(F.col("shared") & F.col("phrase"), None).when(F.col("blank") & F.col("verdict").isin("word", "line"), "blank")
-        .when(F.col("cut") & F.col("verdict").isin("word", "line"), "word").when(F.col("verdict") == "line", "line")
+        F.when(prefix, "prefix").when(F.col("verdict") == "open", "grammar").when(F.col("blank") & F.col("verdict").isin("word", "line"), "blank")
+        .when(half, "word").when(F.col("shared") & F.col("phrase"), None).when(F.col("verdict") == "line", "line")
     )
     return rows.join(cut, "word", "left").join(shared, ["line", "verdict"], "left").select("doc_id", evidence.alias("evidence"))
 
