@@ -123,3 +123,23 @@ def test_near_copies_share_no_phrase(spark):
     phrases = [f"{PROSE * (i + 1)}\nTo be continued" for i in range(3)]
     whole = [f"Text {i} is whole." for i in range(20_000)]
     assert evidence(phrases + whole[:10]) == {} and set(evidence(phrases + whole)) == {0, 1, 2}
+
+
+def test_cut_in_the_last_line(spark):
+    """A longer copy that goes on to the end of the line alone; edits of a last line are none."""
+    line = "import widget\nx = foo(a)"
+    cut = [line, "var walk=function(a){return resolve(a)}", PROSE + "The record is kept (here)"]
+    longer = [line + ".bar()", cut[1] + "(7);", cut[2] + " in the widget."]
+    kept = [PROSE + "The widget is kept.", PY + "walk = widget(1)\n", PY + "walk = widget(1)", PROSE + "It is kept (here)\n"]
+    edited = [kept[0] + " So is the record.", PY + "walk = widget(1) + 2\n", PROSE + "It is kept (here) now.\n"]
+    data = [(k + i, t, "s", "", "") for k, rows in ((0, cut), (100, longer), (200, kept), (300, edited)) for i, t in enumerate(rows)]
+    df = spark.createDataFrame(data + [(400 + i, line, "s", "", "") for i in range(30)], S)
+    for n in ("1", "7", "41"):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = {r.doc_id for r in judged(df).where("evidence = 'prefix'").collect()}
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == {0, 1, 2, *range(400, 430)}

@@ -3,16 +3,16 @@
 What may stand behind a break (white space, dots, a note of the transfer, a broken character) is taken
 off, and the distinct rests are sorted. In sorted order every text that has a given one as a strict
 prefix follows it without a gap, so that one pass with a stack of the prefixes that are still open
-compares each text with all that carry it on; one that does so inside the line, and by more than the
-line, is enough. Ranges of the order are compared in parallel: each names the prefixes that it leaves
+compares each text with all that carry it on; one that does so inside the line is enough. Ranges of the order are compared in parallel: each names the prefixes that it leaves
 open and what its texts do to the prefixes of its first one, which are compared afterwards. The same test by prefix is made for last words: a last word that hardly occurs as a word of
 its own but is a strict prefix of a common one was cut. Most cut texts have no longer copy; these are
 found by the grammar of their own end (``endings``), with the test of words where the grammar leaves it
 open.
 
 Defined results: null and empty texts, and texts of nothing but what may follow a break, are whole; a
-text that a longer copy carries on at a line break, or only to the end of the line, is judged by its grammar
-alone; repeated rows are each
+text that a longer copy carries on at a line break is judged by its grammar alone; so is one that is only
+carried on to the end of the line, where that may be an edit of the last line: the longer copy adds a
+sentence or statement after a whole one, or a copy of the shorter one ends its line there; repeated rows are each
 judged alike. The counts of words and of last lines are over all documents; a last line that many
 texts share, near copies counted once, is a phrase and no break, unless a blank or a last
 word that stands nowhere else tells otherwise.
@@ -38,17 +38,29 @@ AFTER = rf"(?i)(?:[\s\x{{FFFD}}…]++|\.{{3}}|\[(?:{_NOTE})[^\]\n]{{0,30}}\]|<(?
 #: Shorter texts are prefixes of others by chance.
 LEAST = 20
 _END = 200
+#: What ends a sentence or statement.
+_WHOLE = ".!?;}。！？"
 #: A last line is a phrase from so many texts on that aren't near copies, and from this share of all texts on.
 ALIKE, SHARE = 3, 0.0002
 _SCHEMA = (
-    "doc_id bigint, blank boolean, endless boolean, verdict string, word string, phrase boolean, line int, size int, before int, part int, open int, "
-    "first string, last string, opens array<int>, reach int, at array<int>"
+    "doc_id bigint, blank boolean, broken boolean, endless boolean, within boolean, verdict string, word string, phrase boolean, line int, text_key bigint, size int, before int, part int, open int, "
+    "first string, last string, opens array<int>, reach int, at array<int>, within_at array<int>"
 )
 _RUN = re.compile(r"[a-z]+\Z")
 #: A compound word that stops with the first letter of its next part.
 _HUMP = re.compile(r"[A-Z][a-z]+[A-Z]\Z")
 
 
+def _goes_on(text: str, size: int) -> int:
+    """How a text goes on behind its first characters: 2 inside the line and to a later one, 1 inside the
+    line, whose end is the text's, and inside a word, string, statement or sentence, 0 otherwise."""
+    if text[size] in "\r\n":
+        return 0
+    if text.find("\n", size) >= 0:
+        return 2
+    return 0 if text[size] in " \t" and text[size - 1] in _WHOLE else 1
+
+
 def _key(text: str) -> int:
     return crc32(text.encode("utf-8", "replace")) - 2**31
 
@@ -58,7 +70,8 @@ class _Head:
     among these."""
 
     def __init__(self, first: str) -> None:
-        self.first, self.shared, self.reach, self.at = first, first, first.rfind("\n"), set[int]()
+        self.first, self.shared, self.reach = first, first, first.rfind("\n")
+        self.at: tuple[set[int], ...] = (set(), set(), set())
 
     def add(self, body: str) -> None:
         """A later text: it shares no more of the first one than those before it."""
@@ -69,67 +82,68 @@ class _Head:
                 low, high = (middle, high) if body.startswith(self.shared[:middle]) else (low, middle)
             self.shared = self.shared[:low]
         n = len(self.shared)
-        if n >= LEAST and body.find("\n", n) >= 0:
-            self.reach = max(self.reach, n)
-            if body[n] not in "\r\n":
-                self.at.add(n)
+        if n >= LEAST:
+            self.at[_goes_on(body, n)].add(n)
+            if n > self.reach and body.find("\n", n) >= 0:
+                self.reach = n
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (body, doc_id) → a row for each document, and one without a document for the range: its first
     and last body, the lengths of the last one's prefixes that are open, the length of the first one below
-    which its prefixes go on to a line break, and the lengths at which another body goes on so."""
+    which its prefixes go on to a line break, and the lengths at which another body goes on so, or in the line."""
     context = TaskContext.get()
     part = context.partitionId() if context else 0
     out: list[tuple] = []
     head: _Head | None = None
     current = ""
-    # the prefixes of the current body, shortest first, and itself: length, whether a longer text carries it on, documents
+    # the prefixes of the current body, shortest first, and itself: length, how longer texts carry it on at most, documents
     stack: list[list] = []
 
     def close(is_last: bool) -> None:
-        size, inside, ids = stack.pop()
+        size, how, ids = stack.pop()
+        inside = how == 2
         text = current[:size]
         word = _RUN.search(text)
         verdict = "open" if inside else ending(text)
         if verdict in ("word", "line") and _HUMP.search(text):
             verdict = "open"
         line = text[text.rfind("\n") + 1 :].strip()
-        facts = (inside, verdict, word[0] if word else None, " " in line, _key(line))
+        facts = (inside, how == 1, verdict, word[0] if word else None, " " in line, _key(line), _key(text) * 2**32 + size if how < 2 else None)
         # near copies with another head have as many characters, or as many lines and the same text before the last one
         near = (size, _key(f"{text.count('\n')} {text[: size - len(line)][-_END:]}")) if verdict == "line" else (None, None)
         at_edge = size if is_last and not inside and size >= LEAST else None
-        out.extend((*i, *facts, *near, part, at_edge, None, None, None, None, None) for i in ids)
+        out.extend((*i, *facts, *near, part, at_edge, *(None,) * 6) for i in ids)
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out:
             numbers = pa.list_(pa.int32())
-            types = (pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), *[pa.int32()] * 5, pa.string(), pa.string(), numbers, pa.int32(), numbers)
+            types = (pa.int64(), *[pa.bool_()] * 4, pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), numbers, pa.int32(), numbers, numbers)
             names = [f.strip().split(" ")[0] for f in _SCHEMA.split(",")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
             out.clear()
 
     for batch in batches:
-        for body, *doc in zip(*(batch[c].to_pylist() for c in ("body", "doc_id", "blank")), strict=True):
+        for body, *doc in zip(*(batch[c].to_pylist() for c in ("body", "doc_id", "blank", "broken")), strict=True):
             if not stack or body != current:
                 while stack and not body.startswith(current[: stack[-1][0]]):
                     close(False)
                 for entry in stack:
-                    n = entry[0]
-                    entry[1] = entry[1] or (n >= LEAST and body[n] not in "\r\n" and body.find("\n", n) >= 0)
+                    if entry[1] < 2 and entry[0] >= LEAST:
+                        entry[1] = max(entry[1], _goes_on(body, entry[0]))
                 if head:
                     head.add(body)
                 else:
                     head = _Head(body)
                 current = body
-                stack.append([len(body), False, []])
+                stack.append([len(body), 0, []])
             stack[-1][2].append(tuple(doc))
         yield from flush()
     if head:
-        opens = [n for n, inside, _ in stack if n >= LEAST and not inside]
+        opens = [n for n, how, _ in stack if n >= LEAST and how < 2]
         while stack:
             close(True)
-        out.append((None,) * 9 + (part, None, head.first, current if opens else None, opens, head.reach, sorted(head.at)))
+        out.append((None,) * 12 + (part, None, head.first, current if opens else None, opens, head.reach, *map(sorted, head.at[:0:-1])))
     yield from flush()
 
 
@@ -167,16 +181,25 @@ def judged(documents: DataFrame) -> DataFrame:
     bodies = texts.select("doc_id", "text", body_of(F.col("text")).alias("body")).where("body <> ''")
     # a blank after the last word, on the same line to the end: the next word is missing
     rest = F.expr("substring(text, length(body) + 1)")
-    bodies = bodies.select("doc_id", "body", (rest.rlike(r"^[ \t]") & ~rest.contains("\n")).alias("blank"))
+    bodies = bodies.select("doc_id", "body", (rest.rlike(r"^[ \t]") & ~rest.contains("\n")).alias("blank"), rest.rlike(r"\A\s*\n\s*\z").alias("broken"))
     rows = materialize(bodies.repartitionByRange("body", "doc_id").sortWithinPartitions("body", "doc_id").mapInArrow(_neighbours, _SCHEMA))
     # prefixes that a range leaves open, and the ranges whose first body has them: a few rows a range
     ranges = rows.where("first is not null")
     left = ranges.select("part", "last", F.explode("opens").alias("open")).withColumn("start", F.expr(f"left(last, {LEAST})"))
-    right = ranges.select(F.expr(f"left(first, {LEAST})").alias("start"), "first", "reach", "at")
-    inside = "substring(first, open + 1, 1) not in ('', '\\r', '\\n') and open < reach"
-    over = left.join(right, "start").where(F.expr("startswith(first, left(last, open))") & F.expr(f"array_contains(at, open) or {inside}"))
-    over = over.select("part", "open").distinct().withColumn("over", F.lit(True))
-    rows = rows.where("verdict is not null").drop("first", "last", "opens", "reach", "at").join(F.broadcast(over), ["part", "open"], "left")
+    right = ranges.select(F.expr(f"left(first, {LEAST})").alias("start"), "first", "reach", "at", "within_at")
+    inside = "substring(first, open + 1, 1) not in ('', '\\r', '\\n')"
+    whole = f"substring(first, open + 1, 1) in (' ', '\\t') and instr('{_WHOLE}', substring(first, open, 1)) > 0"
+    over = left.join(right, "start").where("startswith(first, left(last, open))")
+    over = over.groupBy("part", "open").agg(
+        F.max(F.expr(f"array_contains(at, open) or {inside} and open < reach")).alias("over"),
+        F.max(F.expr(f"array_contains(within_at, open) or {inside} and not ({whole})")).alias("over_within"),
+    )
+    rows = rows.where("verdict is not null").drop("first", "last", "opens", "reach", "at", "within_at").join(F.broadcast(over), ["part", "open"], "left")
+    prefix = F.col("endless") | F.coalesce("over", F.lit(False))
+    rows = rows.withColumns({"prefix": prefix, "within": ~prefix & (F.col("within") | F.coalesce("over_within", F.lit(False)))})
+    # carried on in the last line alone, by few: that is an edit where a copy ends the line at that place
+    edited = rows.where("within").groupBy("text_key").agg(F.max("broken").alias("edited"))
+    rows = rows.join(edited, "text_key", "left")
 
     cut = cut_words(texts, rows.where("verdict in ('word', 'line') and word is not null")).withColumn("cut", F.lit(True))
     # a last line of several words that different texts share is a phrase, not a break
@@ -187,9 +210,8 @@ def judged(documents: DataFrame) -> DataFrame:
     )
     # in a phrase a last word that also stands elsewhere is whole, be it the start of a common one ("on", "one") or not
     half = F.col("cut") & F.col("verdict").isin("word", "line") & (F.col("shared").isNull() | ~F.col("phrase") | (F.col("own") <= F.col("ends")))
-    prefix = F.col("endless") | F.coalesce("over", F.lit(False))
     evidence = (
-        F.when(prefix, "prefix").when(F.col("verdict") == "open", "grammar").when(F.col("blank") & F.col("verdict").isin("word", "line"), "blank")
+        F.when(F.col("prefix") | (F.col("within") & ~F.col("edited")), "prefix").when(F.col("verdict") == "open", "grammar").when(F.col("blank") & F.col("verdict").isin("word", "line"), "blank")
         .when(half, "word").when(F.col("shared") & F.col("phrase"), None).when(F.col("verdict") == "line", "line")
     )
     return rows.join(cut, "word", "left").join(shared, ["line", "verdict"], "left").select("doc_id", evidence.alias("evidence"))
