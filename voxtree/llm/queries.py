@@ -24,8 +24,8 @@ def p1_found(spark: SparkSession, path: str) -> DataFrame:
 
 
 def p1_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The pieces of oversized images, without their bytes."""
-    return split_oversized(table(spark, path, "trace_result"), table(spark, path, "scanner")).drop("data")
+    """The pieces of oversized images, with their bytes."""
+    return split_oversized(table(spark, path, "trace_result"), table(spark, path, "scanner"))
 
 
 def p3_found(spark: SparkSession, path: str) -> DataFrame:
