@@ -216,3 +216,14 @@ def test_figures():
     assert figures.drawn(flat, [(np.array([[0, 0], [4, 4.0]]), (9, 8, 7))])[2, 2].tolist() == [9, 8, 7]
     assert figures.depth_shares(np.array([2.0, 2.0])).tolist() == [0.5, 0.5] and figures.depth_shares(np.array([1.0, 3.0])).tolist() == [0, 1]
     assert figures.projection(np.array([[[-5.0]], [[1.0]]]))[0, 0] == pytest.approx(math.log(2))
+
+
+def test_failed_images_leave_a_row(spark):
+    """An image of another size than its shape is named; a flat one has nothing to find."""
+    image = phantom(FORK).astype("u1")
+    rows = [("fork", image.tobytes(), "u1", list(image.shape)), ("flat", b"\0" * 27, "u1", [3, 3, 3]), ("bad", b"\0", "u1", [3, 3, 3]), ("none", b"", "u1", [0, 3, 3])]
+    df = spark.createDataFrame(rows, "id string, data binary, dtype string, shape array<int>")
+    for found in (tracing.connections(df), tracing.end_to_end_paths(df)):
+        got = {(r.id, r.status, r.error_type) for r in found.collect()}
+        assert ("bad", "failed", "ValueError") in got and {g[0] for g in got if g[1] == "failed"} == {"bad"} and "none" not in {g[0] for g in got}
+    assert tracing.end_to_end_paths(df).where("id = 'fork' and status = 'completed' and cost is not null").count() > 0
