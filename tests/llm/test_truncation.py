@@ -24,7 +24,7 @@ def test_kinds():
 
 
 def test_bodies(spark):
-    cases = [("a b \n", "a b"), ("a b...", "a b"), ("a [cut]", "a"), ("a\n<connection closed>", "a"), ("a�", "a"), ("a …\r\n", "a"), (" \n", ""), ("x" + " " * 5000, "x"), ("(truncated by peer)", ""), ("a [b]", "a [b]"), ("y" * 5000 + "[truncated]", "y" * 5000)]
+    cases = [("a b \n", "a b"), ("a b...", "a b"), ("a [cut]", "a"), ("a\n<connection closed>", "a"), ("a�", "a"), ("a …\r\n", "a"), (" \n", ""), ("x" + " " * 5000, "x"), ("(truncated by peer)", ""), ("a [b]", "a [b]"), ("y" * 5000 + "[truncated]", "y" * 5000), ("y" * 300 + "[connection closed by the peer]" + " " * 190, "y" * 300), ("z" + " \n" * 20_000 + "(cut)", "z")]
     got = spark.createDataFrame([(a,) for a, _ in cases], "text string")
     assert [r[0] for r in got.select(body_of(got.text)).collect()] == [b for _, b in cases]
 
@@ -143,3 +143,32 @@ def test_cut_in_the_last_line(spark):
             spark.conf.set("spark.sql.adaptive.enabled", "true")
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert got == {0, 1, 2, *range(400, 430)}
+
+
+def test_lengths_around_the_fixed_prefixes(spark):
+    """Brute force over texts of many lengths, copies and documents without an id among them."""
+    import random
+
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh \n") for _ in range(1100))
+    texts = {base[:n].rstrip() for n in (19, 20, 21, 31, 32, 63, 64, 65, 127, 128, 255, 256, 257, 300, 511, 512, 513, 767, 768, 1023, 1024, 1025, 1100)}
+    texts |= {base[:n].rstrip() + "ccc" for n in (20, 40, 200, 256, 300, 512, 800)} | {base[:n].rstrip() + "\nccc" for n in (30, 64, 256, 768)}
+    texts = sorted(texts)
+    data = [(i if i % 5 else None, t, "s", "", "") for i, t in enumerate(texts)] + [(1000 + i, t, "s", "", "") for i, t in enumerate(texts[:9])]
+    df = spark.createDataFrame(data, S).repartition(5)
+    from voxtree.llm.truncation import _SCHEMA, _bodies, _facts, _goes_on, _identity, carried_on
+    from pyspark.sql import functions as F
+
+    facts = _bodies(df).select("doc_id", "mark", "body", F.lit(False).alias("blank"), F.lit(False).alias("broken")).mapInArrow(_facts, _SCHEMA)
+    got = {(r.hi, r.lo): r.how for r in carried_on(df, facts).collect()}
+    bodies = [t for t in texts if len(t) >= 20]
+    want = {_identity(a): max((_goes_on(b, len(a), b.rfind("\n")) for b in bodies if b != a and b.startswith(a)), default=0) for a in bodies}
+    assert got == {k: how for k, how in want.items() if how} and len(got) > 15
+
+
+def test_last_words_of_any_script_and_length(spark):
+    long = "pqrstuvw" * 20
+    texts = [f"{PROSE}The {w} number {i} is here.\n" for w in ("СТРОКА", "строка", long) for i in range(6)]
+    cut = [PROSE + "Do not walk, " + w for w in ("(СТРО", "(стро", "(" + long[:100])]
+    got = {r.doc_id: r.evidence for r in truncated(spark.createDataFrame([(i, t, "s", "", "") for i, t in enumerate(cut + texts)], S)).collect()}
+    assert got == dict.fromkeys(range(3), "word")

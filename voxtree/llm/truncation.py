@@ -1,31 +1,33 @@
 """Texts that stop before their file did.
 
 What may stand behind a break (white space, dots, a note of the transfer, a broken character) is taken
-off, and the distinct rests are sorted. In sorted order every text that has a given one as a strict
-prefix follows it without a gap, so that one pass with a stack of the prefixes that are still open
-compares each text with all that carry it on; one that does so inside the line is enough. Ranges of the order are compared in parallel: each names the prefixes that it leaves
-open and what its texts do to the prefixes of its first one, which are compared afterwards. The same test by prefix is made for last words: a last word that hardly occurs as a word of
-its own but is a strict prefix of a common one was cut. Most cut texts have no longer copy; these are
-found by the grammar of their own end (``endings``), with the test of words where the grammar leaves it
-open.
+off. A rest that is a strict prefix of a longer one was cut. Texts are compared by hashes of prefixes of
+fixed lengths (``bounds``): one pass gives the 128-bit hash of every such prefix of a text and of the
+text itself, and texts stay where they are. Where the last fixed prefix of one text is also one of
+another, the lengths between it and the next fixed one at which texts end are kept as 256 bits, and only
+texts that have such a prefix are read again, to hash their prefixes of just these lengths. So every text
+is compared with all that carry it on; one that does so inside the line is enough. The same test by prefix
+is made for last words: a last word that hardly occurs as a word of its own but is a strict prefix of a
+common one was cut. Most cut texts have no longer copy; these are found by the grammar of their own
+end (``endings``), with the test of words where the grammar leaves it open.
 
 Defined results: null and empty texts, and texts of nothing but what may follow a break, are whole; a
 text that a longer copy carries on at a line break is judged by its grammar alone; so is one that is only
 carried on to the end of the line, where that may be an edit of the last line: the longer copy adds a
-sentence or statement after a whole one, or a copy of the shorter one ends its line there; repeated rows are each
-judged alike. The counts of words and of last lines are over all documents; a last line that many
-texts share, near copies counted once, is a phrase and no break, unless a blank or a last
-word that stands nowhere else tells otherwise.
+sentence or statement after a whole one, or a copy of the shorter one ends its line there; repeated rows and
+documents without an id are each judged alike. The counts of words and of last lines are over all
+documents; a last line that many texts share, near copies counted once, is a phrase and no break, unless a
+blank or a last word that stands nowhere else tells otherwise.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
+from hashlib import blake2b
+from struct import unpack
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,187 +36,205 @@ from voxtree.session import materialize
 
 #: What transfers and field limits put behind a break.
 _NOTE = r"cut|truncated|truncation|snip|snipped|clipped|incomplete|connection (?:closed|reset|lost)|timed? ?out|eof|end of data|read more|more|continued"
-AFTER = rf"(?i)(?:[\s\x{{FFFD}}…]++|\.{{3}}|\[(?:{_NOTE})[^\]\n]{{0,30}}\]|<(?:{_NOTE})[^>\n]{{0,30}}>|\((?:{_NOTE})[^)\n]{{0,30}}\))++\z"
-#: Shorter texts are prefixes of others by chance.
+AFTER = rf"(?i)(?<!\s)(?:[\s\x{{FFFD}}…]++|\.{{3}}|\[(?:{_NOTE})[^\]\n]{{0,30}}\]|<(?:{_NOTE})[^>\n]{{0,30}}>|\((?:{_NOTE})[^)\n]{{0,30}}\))++\z"
+#: Texts of fewer characters are prefixes of others by chance.
 LEAST = 20
-_END = 200
+#: Most characters between two fixed prefixes.
+BLOCK = 256
+#: The end of a text that is looked at first for what follows a break, and the least that must remain of it: more than one note.
+_END, _REST = 200, 64
 #: What ends a sentence or statement.
 _WHOLE = ".!?;}。！？"
 #: A last line is a phrase from so many texts on that aren't near copies, and from this share of all texts on.
 ALIKE, SHARE = 3, 0.0002
 _SCHEMA = (
-    "doc_id bigint, blank boolean, broken boolean, endless boolean, within boolean, verdict string, word string, phrase boolean, line int, text_key bigint, size int, before int, part int, open int, "
-    "first string, last string, opens array<int>, reach int, at array<int>, within_at array<int>"
+    "doc_id bigint, mark bigint, hi bigint, lo bigint, size int, tail int, verdict string, word string, phrase boolean, line_hi bigint, line_lo bigint, near bigint, blank boolean, broken boolean, "
+    "his array<bigint>, los array<bigint>"
 )
-_RUN = re.compile(r"[a-z]+\Z")
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
 #: A compound word that stops with the first letter of its next part.
 _HUMP = re.compile(r"[A-Z][a-z]+[A-Z]\Z")
+#: Words: letters without case changes, of any script. A last word of capitals alone is one too.
+WORD = r"[\p{Ll}\p{Lo}\p{M}]+|\p{Lu}{2,}"
 
 
-def _goes_on(text: str, size: int) -> int:
+def bounds(size: int) -> list[int]:
+    """The lengths of the fixed prefixes of a text of so many characters."""
+    return [n for n in (LEAST, 32, 64, 128) if n <= size] + list(range(BLOCK, size + 1, BLOCK))
+
+
+def _goes_on(text: str, size: int, last_break: int) -> int:
     """How a text goes on behind its first characters: 2 inside the line and to a later one, 1 inside the
     line, whose end is the text's, and inside a word, string, statement or sentence, 0 otherwise."""
     if text[size] in "\r\n":
         return 0
-    if text.find("\n", size) >= 0:
+    if last_break >= size:
         return 2
     return 0 if text[size] in " \t" and text[size - 1] in _WHOLE else 1
 
 
-def _key(text: str) -> int:
-    return crc32(text.encode("utf-8", "replace")) - 2**31
-
-
-class _Head:
-    """What the texts of a range do to the prefixes of its first one; those left open by earlier ranges are
-    among these."""
-
-    def __init__(self, first: str) -> None:
-        self.first, self.shared, self.reach = first, first, first.rfind("\n")
-        self.at: tuple[set[int], ...] = (set(), set(), set())
-
-    def add(self, body: str) -> None:
-        """A later text: it shares no more of the first one than those before it."""
-        if not body.startswith(self.shared):
-            low, high = 0, len(self.shared)
-            while high - low > 1:
-                middle = (low + high) // 2
-                low, high = (middle, high) if body.startswith(self.shared[:middle]) else (low, middle)
-            self.shared = self.shared[:low]
-        n = len(self.shared)
-        if n >= LEAST:
-            self.at[_goes_on(body, n)].add(n)
-            if n > self.reach and body.find("\n", n) >= 0:
-                self.reach = n
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (body, doc_id) → a row for each document, and one without a document for the range: its first
-    and last body, the lengths of the last one's prefixes that are open, the length of the first one below
-    which its prefixes go on to a line break, and the lengths at which another body goes on so, or in the line."""
-    context = TaskContext.get()
-    part = context.partitionId() if context else 0
-    out: list[tuple] = []
-    head: _Head | None = None
-    current = ""
-    # the prefixes of the current body, shortest first, and itself: length, how longer texts carry it on at most, documents
-    stack: list[list] = []
-
-    def close(is_last: bool) -> None:
-        size, how, ids = stack.pop()
-        inside = how == 2
-        text = current[:size]
-        word = _RUN.search(text)
-        verdict = "open" if inside else ending(text)
-        if verdict in ("word", "line") and _HUMP.search(text):
-            verdict = "open"
-        line = text[text.rfind("\n") + 1 :].strip()
-        facts = (inside, how == 1, verdict, word[0] if word else None, " " in line, _key(line), _key(text) * 2**32 + size if how < 2 else None)
-        # near copies with another head have as many characters, or as many lines and the same text before the last one
-        near = (size, _key(f"{text.count('\n')} {text[: size - len(line)][-_END:]}")) if verdict == "line" else (None, None)
-        at_edge = size if is_last and not inside and size >= LEAST else None
-        out.extend((*i, *facts, *near, part, at_edge, *(None,) * 6) for i in ids)
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out:
-            numbers = pa.list_(pa.int32())
-            types = (pa.int64(), *[pa.bool_()] * 4, pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), numbers, pa.int32(), numbers, numbers)
-            names = [f.strip().split(" ")[0] for f in _SCHEMA.split(",")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-            out.clear()
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
+
+
+def _identity(text: str) -> tuple[int, int]:
+    return unpack("<qq", blake2b(_bytes(text), digest_size=16).digest())
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
 
+def _last_word(text: str) -> str | None:
+    """The last word, if the text stops in one."""
+    def kind(c: str) -> int:
+        return 0 if not c.isalpha() else 2 if c.isupper() else 1
+
+    n, which = len(text), kind(text[-1:] or " ")
+    at = n
+    while at and which and kind(text[at - 1]) == which:
+        at -= 1
+    return text[at:] if which == 1 or (which == 2 and n - at > 1) else None
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: what its end tells, and the hashes of its fixed prefixes."""
     for batch in batches:
-        for body, *doc in zip(*(batch[c].to_pylist() for c in ("body", "doc_id", "blank", "broken")), strict=True):
-            if not stack or body != current:
-                while stack and not body.startswith(current[: stack[-1][0]]):
-                    close(False)
-                for entry in stack:
-                    if entry[1] < 2 and entry[0] >= LEAST:
-                        entry[1] = max(entry[1], _goes_on(body, entry[0]))
-                if head:
-                    head.add(body)
-                else:
-                    head = _Head(body)
-                current = body
-                stack.append([len(body), 0, []])
-            stack[-1][2].append(tuple(doc))
-        yield from flush()
-    if head:
-        opens = [n for n, how, _ in stack if n >= LEAST and how < 2]
-        while stack:
-            close(True)
-        out.append((None,) * 12 + (part, None, head.first, current if opens else None, opens, head.reach, *map(sorted, head.at[:0:-1])))
-    yield from flush()
+        out = []
+        for doc, mark, body, blank, broken in zip(*(batch[c].to_pylist() for c in ("doc_id", "mark", "body", "blank", "broken")), strict=True):
+            size, whole, his, los, done = len(body), blake2b(digest_size=16), [], [], 0
+            for n in bounds(size):
+                whole.update(_bytes(body[done:n]))
+                done = n
+                hi, lo = unpack("<qq", whole.digest())
+                his.append(hi)
+                los.append(lo)
+            whole.update(_bytes(body[done:]))
+            verdict = ending(body)
+            if verdict in ("word", "line") and _HUMP.search(body[-_END:]):
+                verdict = "open"
+            line = body[body.rfind("\n") + 1 :].strip()
+            # near copies with another head have as many characters, or as many lines and the same text before the last one
+            near = _identity(f"{body.count('\n')} {body[: size - len(line)][-_END:]}")[0] if verdict == "line" else None
+            out.append((doc, mark, *unpack("<qq", whole.digest()), size, size - done, verdict, _last_word(body[-10 * _END :]), " " in line, *_identity(line), near, blank, broken, his, los))
+        yield _batch(_SCHEMA, out)
+
+
+_CARRIED = "hi bigint, lo bigint, how int"
+
+
+def _carried_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(body, places: the fixed prefixes and the bits of the lengths behind them) → hash of each of these
+    prefixes of the body, and how the body goes on behind it."""
+    for batch in batches:
+        out = []
+        for body, places in zip(batch["body"].to_pylist(), batch["places"].to_pylist(), strict=True):
+            state, done, size = blake2b(digest_size=16), 0, len(body)
+            fixed, last_break = bounds(size), body.rfind("\n")
+            for place in sorted(places, key=lambda p: p["k"]):
+                if place["k"] >= len(fixed):
+                    break
+                at = fixed[place["k"]]
+                state.update(_bytes(body[done:at]))
+                done = at
+                bits = sum((place[f"b{i}"] & (2**64 - 1)) << (64 * i) for i in range(4))
+                while bits:
+                    n = at + (bits & -bits).bit_length() - 1
+                    bits &= bits - 1
+                    if n >= size:
+                        break
+                    if how := _goes_on(body, n, last_break):
+                        prefix = state.copy()
+                        prefix.update(_bytes(body[at:n]))
+                        out.append((*unpack("<qq", prefix.digest()), how))
+        yield _batch(_CARRIED, out)
 
 
 def body_of(text: Column) -> Column:
     """The text without what stands behind a break. The pattern only sees the last characters, unless
-    nothing of them remains."""
+    so little of them remains that a note may begin before them."""
     end = F.regexp_replace(F.right(text, F.lit(_END)), AFTER, "")
     short = F.concat(F.left(text, F.greatest(F.length(text) - _END, F.lit(0))), end)
-    return F.when((end != "") | (F.length(text) <= _END), short).otherwise(F.regexp_replace(text, AFTER, ""))
+    return F.when((F.length(end) >= _REST) | (F.length(text) <= _END), short).otherwise(F.regexp_replace(text, AFTER, ""))
+
+
+def _bodies(documents: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the whole text), text and body."""
+    texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
+    return texts.select("doc_id", F.xxhash64("text").alias("mark"), "text", body_of(F.col("text")).alias("body")).where("body <> ''")
+
+
+def carried_on(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """hi, lo (of bodies that a longer one carries on), how (2: to a later line, 1: to the end of its line) and
+    edited (a copy ends its line where the text does)."""
+    # copies of a text are one from here on
+    distinct = materialize(
+        facts.where(f"size >= {LEAST}").groupBy("hi", "lo")
+        .agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.max("broken").alias("edited"), F.first("tail").alias("tail"), F.first("his").alias("his"), F.first("los").alias("los"))
+    )
+    bits = [F.expr(f"if(k = size(his) - 1 and tail div 64 = {i}, shiftleft(1L, tail % 64), 0L) as b{i}") for i in range(4)]
+    parts = distinct.select("lo", "tail", "his", F.posexplode(F.arrays_zip("his", "los")).alias("k", "p")).select(F.col("p.his").alias("hi"), F.col("p.los").alias("lo"), F.col("lo").alias("body"), *bits)
+    met = (
+        parts.groupBy("hi", "lo").agg(F.min("body").alias("a"), F.max("body").alias("b"), *[F.bit_or(f"b{i}").alias(f"b{i}") for i in range(4)])
+        .where("a <> b and (b0 | b1 | b2 | b3) <> 0").drop("a", "b")
+    )
+    again = distinct.select("one", F.posexplode(F.arrays_zip("his", "los")).alias("k", "p")).select("one", "k", F.col("p.his").alias("hi"), F.col("p.los").alias("lo"))
+    # as many places for a text as it has fixed prefixes
+    wanted = materialize(
+        again.join(met, ["hi", "lo"]).groupBy("one").agg(F.collect_list(F.struct("k", "b0", "b1", "b2", "b3")).alias("places")).select(F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("mark"), "places")
+    )
+    longer = _bodies(documents).join(wanted, "mark").where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("body", "places").mapInArrow(_carried_on, _CARRIED)
+    return longer.groupBy("hi", "lo").agg(F.max("how").alias("how")).join(distinct.select("hi", "lo", "edited"), ["hi", "lo"])
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.split(text, "[^a-z]++"))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+
+
+def _start(word: Column, size: Column) -> Column:
+    """What stands for the first ``size`` letters: themselves, or their hash where they are many."""
+    start = F.substring(word, F.lit(1), size)
+    return F.when(size <= 64, start).otherwise(F.concat(F.lit("#"), F.hex(F.xxhash64(start))))
 
 
 def cut_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     """Of ``words`` (word) those that were cut, and in how many documents each occurs (own): strict prefixes
     of a word that occurs in at least five documents, and in five times as many as the word itself."""
-    counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("w", F.substring("w", 1, 64)).groupBy("w").agg(F.max("n").alias("n"))
-    starts = counts.where("n >= 5").select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - 1, F.lit(1))), lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("word"), "n", "w"
-    )
-    longer = starts.where("word <> w").groupBy("word").agg(F.max("n").alias("longer"))
+    counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.where("n >= 5 and length(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: _start(F.col("w"), k))).alias("start"), "n")
+    longer = starts.groupBy("start").agg(F.max("n").alias("longer"))
+    asked = words.select("word").distinct().withColumn("start", _start(F.col("word"), F.length("word"))).join(longer, "start")
     own = counts.select(F.col("w").alias("word"), "n")
-    return (
-        words.select("word").distinct().join(longer, "word").join(own, "word", "left").where(F.col("longer") >= 5 * F.coalesce("n", F.lit(1))).select("word", F.coalesce("n", F.lit(0)).alias("own"))
-    )
+    return asked.join(own, "word", "left").where(F.col("longer") >= 5 * F.coalesce("n", F.lit(1))).select("word", F.coalesce("n", F.lit(0)).alias("own"))
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, evidence (prefix, grammar, blank, word, line or null for a whole text) of every document with a
     text."""
-    texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
-    bodies = texts.select("doc_id", "text", body_of(F.col("text")).alias("body")).where("body <> ''")
     # a blank after the last word, on the same line to the end: the next word is missing
     rest = F.expr("substring(text, length(body) + 1)")
-    bodies = bodies.select("doc_id", "body", (rest.rlike(r"^[ \t]") & ~rest.contains("\n")).alias("blank"), rest.rlike(r"\A\s*\n\s*\z").alias("broken"))
-    rows = materialize(bodies.repartitionByRange("body", "doc_id").sortWithinPartitions("body", "doc_id").mapInArrow(_neighbours, _SCHEMA))
-    # prefixes that a range leaves open, and the ranges whose first body has them: a few rows a range
-    ranges = rows.where("first is not null")
-    left = ranges.select("part", "last", F.explode("opens").alias("open")).withColumn("start", F.expr(f"left(last, {LEAST})"))
-    right = ranges.select(F.expr(f"left(first, {LEAST})").alias("start"), "first", "reach", "at", "within_at")
-    inside = "substring(first, open + 1, 1) not in ('', '\\r', '\\n')"
-    whole = f"substring(first, open + 1, 1) in (' ', '\\t') and instr('{_WHOLE}', substring(first, open, 1)) > 0"
-    over = left.join(right, "start").where("startswith(first, left(last, open))")
-    over = over.groupBy("part", "open").agg(
-        F.max(F.expr(f"array_contains(at, open) or {inside} and open < reach")).alias("over"),
-        F.max(F.expr(f"array_contains(within_at, open) or {inside} and not ({whole})")).alias("over_within"),
-    )
-    rows = rows.where("verdict is not null").drop("first", "last", "opens", "reach", "at", "within_at").join(F.broadcast(over), ["part", "open"], "left")
-    prefix = F.col("endless") | F.coalesce("over", F.lit(False))
-    rows = rows.withColumns({"prefix": prefix, "within": ~prefix & (F.col("within") | F.coalesce("over_within", F.lit(False)))})
-    # carried on in the last line alone, by few: that is an edit where a copy ends the line at that place
-    edited = rows.where("within").groupBy("text_key").agg(F.max("broken").alias("edited"))
-    rows = rows.join(edited, "text_key", "left")
+    bodies = _bodies(documents).select("doc_id", "mark", "body", (rest.rlike(r"^[ \t]") & ~rest.contains("\n")).alias("blank"), rest.rlike(r"\A\s*\n\s*\z").alias("broken"))
+    rows = materialize(bodies.mapInArrow(_facts, _SCHEMA))
+    longer = carried_on(documents, rows)
+    rows = rows.drop("mark", "tail", "his", "los", "broken").join(longer, ["hi", "lo"], "left")
 
+    texts = documents.where("text is not null and text <> ''").select("text")
     cut = cut_words(texts, rows.where("verdict in ('word', 'line') and word is not null")).withColumn("cut", F.lit(True))
     # a last line of several words that different texts share is a phrase, not a break
     all_texts = rows.agg(F.count(F.lit(1)).alias("texts"))
     shared = (
-        rows.where("verdict = 'line' and phrase").groupBy("line").agg(F.count_distinct("size").alias("sizes"), F.count_distinct("before").alias("n"), F.count(F.lit(1)).alias("ends")).where(f"sizes >= {ALIKE} and n >= {ALIKE}")
-        .join(F.broadcast(all_texts), F.expr(f"n >= {SHARE} * texts")).select("line", F.lit("line").alias("verdict"), F.lit(True).alias("shared"), "ends")
+        rows.where("verdict = 'line' and phrase").groupBy("line_hi", "line_lo").agg(F.count_distinct("size").alias("sizes"), F.count_distinct("near").alias("n"), F.count(F.lit(1)).alias("ends")).where(f"sizes >= {ALIKE} and n >= {ALIKE}")
+        .join(F.broadcast(all_texts), F.expr(f"n >= {SHARE} * texts")).select("line_hi", "line_lo", F.lit("line").alias("verdict"), F.lit(True).alias("shared"), "ends")
     )
     # in a phrase a last word that also stands elsewhere is whole, be it the start of a common one ("on", "one") or not
     half = F.col("cut") & F.col("verdict").isin("word", "line") & (F.col("shared").isNull() | ~F.col("phrase") | (F.col("own") <= F.col("ends")))
     evidence = (
-        F.when(F.col("prefix") | (F.col("within") & ~F.col("edited")), "prefix").when(F.col("verdict") == "open", "grammar").when(F.col("blank") & F.col("verdict").isin("word", "line"), "blank")
+        F.when((F.col("how") == 2) | ((F.col("how") == 1) & ~F.col("edited")), "prefix").when(F.col("verdict") == "open", "grammar").when(F.col("blank") & F.col("verdict").isin("word", "line"), "blank")
         .when(half, "word").when(F.col("shared") & F.col("phrase"), None).when(F.col("verdict") == "line", "line")
     )
-    return rows.join(cut, "word", "left").join(shared, ["line", "verdict"], "left").select("doc_id", evidence.alias("evidence"))
+    return rows.join(cut, "word", "left").join(shared, ["line_hi", "line_lo", "verdict"], "left").select("doc_id", evidence.alias("evidence"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
