@@ -5,7 +5,6 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from voxtree.llm import packing
 from voxtree.llm.mixing import mixture, mixture_shares
 from voxtree.llm.packing import Packer, container_fill, pack_documents
 from voxtree.llm.tokens import TOKENIZER, encoder, hilbert_key, token_sizes
@@ -37,8 +36,14 @@ def test_sizes(spark):
 def test_packer():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 3000, 5000)
-    p = Packer(1000, 0)
-    rows = [r for k in range(0, 5000, 512) for r in p.pack(np.arange(k, min(k + 512, 5000)), sizes[k : k + 512])]
+    p = Packer(1000, 0, 32, 4)
+    rows = [r for k in range(0, 5000, 512) for r in p.pack((i, int(sizes[i]), i) for i in range(k, min(k + 512, 5000)))] + list(p.flush())
+    spread = Counter()
+    for container, *_, position in rows:
+        spread[container] = max(spread[container], position)
+    for container, *_, position in rows:
+        assert spread[container] - position < 600
+    rows = [r[:4] for r in rows]
     load, pieces = Counter(), {}
     for container, doc, at, n in rows:
         load[container] += n
@@ -49,12 +54,11 @@ def test_packer():
         assert [a for a, _ in own] == [1000 * i for i in range(len(own))] and sum(n for _, n in own) == sizes[doc]
 
 
-def test_pack(spark, monkeypatch):
-    monkeypatch.setattr(packing, "WINDOW", 64)
+def test_pack(spark):
     rows = [(i, "word " * (1 + i * 7 % 90), "s") for i in range(300)] + [(900, None, "s"), (901, "", "s"), (902, "word " * 950, "s"), (903, "same " * 50, "s"), (903, "same " * 50, "s"), (None, "no id", "s")]
     caps = spark.createDataFrame([("a", 100), ("b", 1000), ("b", 2000), ("none", None), ("zero", 0), (None, 5)], C)
     docs = documents(spark, rows)
-    packed = pack_documents(docs, caps).collect()
+    packed = pack_documents(docs, caps, window=8).collect()
     total = docs_total = sum(r.n_tokens for r in token_sizes(docs, TOKENIZER, False, "doc_id").collect())
     for name, size in (("a", 100), ("b", 1000)):
         own = [r for r in packed if r.capacity_name == name]

@@ -37,6 +37,15 @@ def test_runs(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_runs_across_pieces(spark):
+    """Limits of several slices: blanks on both sides of a cut are one run, with and without an overlap."""
+    df = spark.createDataFrame([(i, "/vol/s/b/f", "s", 3.0, "u8", None, 2, 3, image(m), 1, "m") for i, m in enumerate(MASKS)], SCHEMA)
+    for limit, overlap in ((13, 0), (19, 1), (31, 4), (40, None)):
+        large = [i for i, m in enumerate(MASKS) if 6 * len(m) > limit]
+        got = sorted(map(tuple, blank_runs(df, spark.createDataFrame([("s", limit, overlap)], LIMITS)).collect()))
+        assert got == sorted((i, *r) for i in large for r in runs(MASKS[i]))
+
+
 def test_odd_rows(spark):
     rows = [
         (1, "/vol/none/b/f", None, 3.0, "u8", 1, 2, 3, image("x.x"), 1, ""), (2, "/vol/s/b/f", "s", None, "u8", 1, 2, 3, image("x.x"), 1, ""), (3, "/vol/s/b/f", "s", 3.0, "f8", 1, 2, 3, image("x.x"), 1, ""),

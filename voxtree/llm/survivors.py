@@ -38,20 +38,14 @@ def _groups(records: DataFrame, attributes: list[str]) -> DataFrame:
     ).where("file is not null")
 
 
-def _best() -> Column:
-    known = F.col("record_id").isNotNull()
-    return F.min(F.when(known, F.struct("_rank", (-F.col("_at")).alias("_late"), "record_id")))["record_id"].alias("survivor_id")
-
-
-def duplicate_groups(records: DataFrame) -> DataFrame:
-    """first_id, survivor_id and file of the files with two or more records."""
-    found = _groups(records, []).groupBy("file").agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"), _best())
-    return found.where("first_id <> last_id").select("first_id", "survivor_id", "file")
-
-
 def survivors(records: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
-    """file, first_id, survivor_id, n_records and the best value of every attribute, one row per file."""
+    """file, first_id, survivor_id, n_records and the best value of every attribute, one row per file. The id of the
+    surviving record is itself the best value of an attribute; so are the others, each from the record that has it."""
     names = [c for c in attributes if c in records.columns]
+    return _survivors(records, names).drop("last_id")
+
+
+def _survivors(records: DataFrame, names: list[str]) -> DataFrame:
     rows = _groups(records, names)
 
     def best(name: str) -> Column:
@@ -61,6 +55,13 @@ def survivors(records: DataFrame, attributes: tuple[str, ...] = ATTRIBUTES) -> D
         order = F.struct(
             value.isNotNull().alias("has"), (-F.col("_rank")).alias("trust"), F.col("_at").alias("at"), (-F.col("record_id")).alias("first"), value.alias("value")
         )
-        return F.max(order)["value"].alias(name)
+        return F.max(order)["value"]
+
+    return rows.groupBy("file").agg(
+        F.min("record_id").alias("first_id"), best("record_id").alias("survivor_id"), F.count(F.lit(1)).alias("n_records"), *[best(c).alias(c) for c in names], F.max("record_id").alias("last_id")
+    )
 
-    return rows.groupBy("file").agg(F.min("record_id").alias("first_id"), _best(), F.count(F.lit(1)).alias("n_records"), *[best(c) for c in names])
+
+def duplicate_groups(records: DataFrame) -> DataFrame:
+    """first_id, survivor_id and file of the files with two or more records."""
+    return _survivors(records, []).where("first_id <> last_id").select("first_id", "survivor_id", "file")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: A byte-level BPE vocabulary as ranks: base64 of the bytes and the id on every line.
@@ -28,6 +30,11 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
+def _at_hand(path: str) -> str:
+    """The ranks file in a worker: in its own folder, or as the driver sent it."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Places on the Hilbert curve of integer points (rows) with ``bits`` bits a coordinate, by Skilling's
     transposition (AIP Conf. Proc. 707, 381, 2004)."""
@@ -84,8 +91,11 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER, curve: bool =
     types = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "n_tokens bigint", *(["place bigint"] if curve else [])])
 
+    if os.path.exists(tokenizer):
+        documents.sparkSession.sparkContext.addFile(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(_at_hand(tokenizer)).encode_ordinary
         for batch in batches:
             sizes = np.zeros(batch.num_rows, np.int64)
             vectors = np.zeros((batch.num_rows if curve else 0, BUCKETS), np.float32)

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: Names of the pixel types.
 DTYPES = {"u8": "u1", "u16le": "<u2", "u16be": ">u2"}
@@ -49,10 +49,15 @@ def blank_mask(image: pd.Series, dtype: pd.Series, threshold: pd.Series, unit: p
     return pd.Series([mask(*row) for row in zip(image, dtype, threshold, unit, strict=True)], dtype=object)
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _sums_before(sizes: pd.Series) -> pd.Series:
+    """The sum of the numbers before each one of a list."""
+    return pd.Series([None if n is None else np.cumsum(np.r_[0, n[:-1]]).astype(np.int32) if len(n) else [] for n in sizes], dtype=object)
+
+
 def _starts(parts: Column) -> Column:
     """Where each of consecutive texts begins."""
-    sums = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
-    return F.slice(sums, F.lit(1), F.size(parts))
+    return _sums_before(F.transform(parts, F.length))
 
 
 def _cuts(most: Column, least: Column) -> Column:
@@ -93,20 +98,45 @@ def oversized(results: DataFrame, scanners: DataFrame) -> DataFrame:
     )
 
 
+def _consumed(results: DataFrame, scanners: DataFrame) -> DataFrame:
+    """The oversized images with ``mask``, ``_unit`` bytes a letter, ``most`` letters of a piece, ``shared`` with the
+    piece before, and ``parts``: what each piece consumes of the mask."""
+    limit, overlap = F.col("_limit"), F.greatest(F.coalesce("_overlap", F.lit(0)), F.lit(0))
+    slice_fits, row_fits = F.col("_slice") <= limit, F.col("_row") <= limit
+    unit = F.when(slice_fits, F.col("_slice")).when(row_fits, F.col("_row")).otherwise(F.col("_item"))
+    fresh = F.col("most") - F.col("shared")
+    # a first piece has nothing to look back on: it may fill the limit and must be as long as what is shared
+    pattern = F.concat(F.lit(r"\A(?:"), _cuts(F.col("most"), F.col("shared")), F.lit(")|"), _cuts(fresh, F.lit(0)))
+    return (
+        oversized(results, scanners).withColumn("_unit", unit)
+        .withColumn("most", F.greatest(F.floor(limit / F.col("_unit")), F.lit(1)).cast("int"))
+        .withColumn("shared", F.least(F.coalesce((F.col("_slice") / F.col("_unit")).cast("int") * overlap, F.lit(0)), F.col("most") - 1).cast("int"))
+        .withColumn("mask", blank_mask("signal_image", "dtype", "threshold", F.col("_unit").cast("double")))
+        .withColumn("parts", F.regexp_extract_all("mask", pattern, F.lit(0)))
+    )
+
+
 def blank_runs(results: DataFrame, scanners: DataFrame) -> DataFrame:
     """result_id, z_first, z_last of the longest runs of blank slices that lie between others; -1, -1 for
-    an oversized image without any."""
-    mask = blank_mask("signal_image", "dtype", "threshold", F.col("_slice").cast("double"))
-    runs = F.regexp_extract_all("mask", F.lit(r"(x+|\.+)"), F.lit(1))
-    inner = F.filter(
-        F.arrays_zip(F.col("runs").alias("run"), _starts(F.col("runs")).alias("start")),
-        lambda r: r["run"].startswith(".") & (r["start"] > 0) & (r["start"] + F.length(r["run"]) < F.length("mask")),
-    )
-    spans = F.transform(inner, lambda r: F.struct(r["start"].alias("z_first"), (r["start"] + F.length(r["run"]) - 1).alias("z_last")))
+    an oversized image without any.
+
+    The boundaries of the splitter: what its pieces consume is told apart into blank and other units, blanks on
+    both sides of a cut are one run, and a run holds the slices whose units are all blank."""
+    runs = F.flatten(F.transform("parts", lambda p: F.regexp_extract_all(p, F.concat(F.lit(r"\.{1,"), F.col("most").cast("string"), F.lit("}|x{1,"), F.col("most").cast("string"), F.lit("}")), F.lit(0))))
+    per, n = F.expr("_slice div _unit"), F.size("runs")
+    blank = lambda i: F.get("runs", i).startswith(".")
+    edge = lambda i: ~F.coalesce(blank(i), F.lit(False))
+    at = F.sequence(F.lit(0), n - 1)
+    first = F.transform(F.filter(at, lambda i: blank(i) & edge(i - 1)), lambda i: F.get("starts", i))
+    stop = F.transform(F.filter(at, lambda i: blank(i) & edge(i + 1)), lambda i: F.get("starts", i) + F.length(F.get("runs", i)))
+    slices = F.ceil(F.length("mask") / per)
+    spans = F.filter(
+        F.zip_with(first, stop, lambda a, b: F.struct(F.ceil(a / per).cast("int").alias("z_first"), F.when(b == F.length("mask"), slices - 1).otherwise(F.floor(b / per) - 1).cast("int").alias("z_last"))),
+        lambda s: (s["z_first"] > 0) & (s["z_first"] <= s["z_last"]) & (s["z_last"] < slices - 1),
+    )
     none = F.array(F.struct(F.lit(-1).alias("z_first"), F.lit(-1).alias("z_last")))
     return (
-        oversized(results, scanners)
-        .select("result_id", mask.alias("mask")).withColumn("runs", runs)
+        _consumed(results, scanners).drop("signal_image").withColumn("runs", runs).withColumn("starts", _starts(F.col("runs")))
         .select("result_id", F.inline(F.when(F.size(spans) > 0, spans).otherwise(none)))
         .distinct()
     )
@@ -115,23 +145,10 @@ def blank_runs(results: DataFrame, scanners: DataFrame) -> DataFrame:
 def split_oversized(results: DataFrame, scanners: DataFrame) -> DataFrame:
     """image_path, result_id, piece, n_pieces, first_byte, n_bytes, z_first, z_last, cut (how the piece
     ends: end, blank, forced) and the ``data`` of every piece."""
-    limit, overlap = F.col("_limit"), F.greatest(F.coalesce("_overlap", F.lit(0)), F.lit(0))
-    slice_fits, row_fits = F.col("_slice") <= limit, F.col("_row") <= limit
-    unit = F.when(slice_fits, F.col("_slice")).when(row_fits, F.col("_row")).otherwise(F.col("_item"))
-    sized = (
-        oversized(results, scanners).withColumn("_unit", unit)
-        .withColumn("most", F.greatest(F.floor(limit / F.col("_unit")), F.lit(1)).cast("int"))
-        .withColumn("shared", F.least(F.coalesce((F.col("_slice") / F.col("_unit")).cast("int") * overlap, F.lit(0)), F.col("most") - 1).cast("int"))
-        .withColumn("mask", blank_mask("signal_image", "dtype", "threshold", F.col("_unit").cast("double")))
-    )
-    fresh = F.col("most") - F.col("shared")
-    # a first piece has nothing to look back on: it may fill the limit and must be as long as what is shared
-    pattern = F.concat(F.lit(r"\A(?:"), _cuts(F.col("most"), F.col("shared")), F.lit(")|"), _cuts(fresh, F.lit(0)))
     pieces = (
-        sized.withColumn("parts", F.regexp_extract_all("mask", pattern, F.lit(0)))
-        .withColumn("starts", _starts(F.col("parts")))
+        _consumed(results, scanners).withColumn("starts", _starts(F.col("parts")))
         .select("*", F.size("parts").alias("n_pieces"), F.posexplode(F.arrays_zip("parts", "starts")).alias("piece", "p"))
-    )
+    )
     start, end = F.col("p.starts"), F.col("p.starts") + F.length("p.parts")
     first = F.greatest(start - F.col("shared"), F.lit(0)).cast("bigint") * F.col("_unit")
     stop = F.least(end.cast("bigint") * F.col("_unit"), F.octet_length("signal_image").cast("bigint"))
