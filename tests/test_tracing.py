@@ -141,7 +141,9 @@ def test_table(spark):
     traced = tracing.trace_images(df)
     got = {r.id: r for r in traced.collect()}
     assert got["fork"].status == "completed" and len(got["fork"].nodes) > 5 and got["flat"].status == "failed" and got["bad"].error_type == "ValueError" and got["none"].status == "failed"
-    assert tracing.nodes_of(traced).where("parent_id = -1").count() == 1 and tracing.seeds_of(traced).count() > 0
+    assert tracing.nodes_of(traced).where("parent_id = -1").count() == 1 and tracing.seeds_of(traced).where("seed_id is not null").count() > 0
+    for rows_of in (tracing.seeds_of, tracing.tubes_of, tracing.nodes_of):
+        assert {(r.id, r.status) for r in rows_of(traced).select("id", "status").distinct().collect()} == {(r.id, r.status) for r in got.values()}
     stats = tracing.chain_stats(tracing.tubes_of(traced))
     assert tracing.filter_chains(stats).count() == stats.count() == 2
     late = tracing.trace_images(df.where("id = 'fork'"), timeout=1e-6).first()
@@ -209,6 +211,11 @@ def test_watch(spark, tmp_path):
 def test_throttle():
     events = [("f", "load", None, None)] + [("f", "chains", i, 240) for i in range(241)]
     assert [e[2] for e in throttled(events, 50)] == [None, 0, 50, 100, 150, 200, 240]
+    some = [("f", "s", 0, 240), *[("f", "s", i, 240) for i in range(1, 151)], ("f", "r", None, None), ("f", "s", 240, 240)]
+    assert throttled(some, 50) == [some[0], some[50], some[100], some[150], *some[-2:]]
+    again = [("f", "s", 100, 240), ("f", "s", 0, 240), ("f", "s", 1, 240), ("f", "s", 5, 500), ("f", "s", 3, 500), ("f", "s", 4, 500), ("f", "s", 4, None)]
+    assert throttled(again, 50) == [again[0], again[1], again[3], again[4], again[6]]
+    assert throttled(some[:4], 50, [0.0, 1.0, 2.0, 3.0], 2.0) == [some[0], some[2]]
 
 
 def test_figures():
@@ -225,5 +232,5 @@ def test_failed_images_leave_a_row(spark):
     df = spark.createDataFrame(rows, "id string, data binary, dtype string, shape array<int>")
     for found in (tracing.connections(df), tracing.end_to_end_paths(df)):
         got = {(r.id, r.status, r.error_type) for r in found.collect()}
-        assert ("bad", "failed", "ValueError") in got and {g[0] for g in got if g[1] == "failed"} == {"bad"} and "none" not in {g[0] for g in got}
+        assert ("bad", "failed", "ValueError") in got and {g[0] for g in got if g[1] == "failed"} == {"bad"} and {g[0] for g in got} == {"fork", "flat", "bad", "none"}
     assert tracing.end_to_end_paths(df).where("id = 'fork' and status = 'completed' and cost is not null").count() > 0

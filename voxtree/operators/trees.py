@@ -6,9 +6,10 @@ walking it run on one tree at a time (``per_tree``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,21 +87,49 @@ def with_tree(nodes: DataFrame) -> DataFrame:
     return nodes.join(labels.select(*KEY, F.coalesce("root_id", "cycle_id").alias("tree_id")), KEY)
 
 
-def _forest(pdf: pd.DataFrame) -> forest.Forest:
-    pdf = pdf.sort_values("node_id")
-    return forest.Forest.of(pdf["node_id"], pdf["node_type"], pdf[["x", "y", "z"]], pdf["radius"], pdf["parent_id"])
+def _by_tree(nodes: DataFrame, function: Callable[[int, forest.Forest], Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows that ``function`` gives for each tree, children in the order of node ids. Trees don't touch each other, so a
+    neuron with very many nodes is as many groups as it has roots; many trees share a task and an Arrow batch."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    types = [{"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f.strip().split(" ")[1]] for f in schema.split(",")]
+    columns = ("node_id", "node_type", "x", "y", "z", "radius", "parent_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            neuron, tree = (table[c].to_numpy() for c in ("neuron_id", "tree_id"))
+            edges = np.flatnonzero(np.r_[True, (neuron[1:] != neuron[:-1]) | (tree[1:] != tree[:-1]), True])
+            ids, kinds, parents = (table[c].fill_null(d).to_numpy() for c, d in (("node_id", 0), ("node_type", 0), ("parent_id", -1)))
+            at, radius = np.column_stack([table[c].fill_null(np.nan).to_numpy() for c in "xyz"]).astype(float), table["radius"].fill_null(np.nan).to_numpy()
+            out: list[tuple] = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                f = forest.Forest.of(ids[a:b].tolist(), kinds[a:b].tolist(), at[a:b], radius[a:b].tolist(), parents[a:b].tolist())
+                out += function(int(neuron[a]), f)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            last = [table[c].to_numpy() for c in ("neuron_id", "tree_id")]
+            # rows of a tree are together; the last tree may go on
+            whole = len(last[0]) - int(np.argmax(np.r_[(last[0][::-1] != last[0][-1]) | (last[1][::-1] != last[1][-1]), True]))
+            if whole:
+                yield from solved(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if held:
+            yield from solved(pa.Table.from_batches(held))
+
+    key = ("neuron_id", "tree_id")
+    rows = with_tree(nodes).select(*key, *columns)
+    return rows.repartition(*key).sortWithinPartitions(*key, "node_id").mapInArrow(run, schema)
 
 
 def per_tree(nodes: DataFrame, function: Callable[[forest.Forest], forest.Forest]) -> DataFrame:
-    """A rewriting pass on each tree, children in the order of node ids. Trees don't touch each other in these passes,
-    so a neuron with very many nodes is as many groups as it has roots."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frame = function(_forest(pdf)).frame()
-        frame.insert(0, "neuron_id", pdf["neuron_id"].iloc[0])
-        return frame
-
-    return with_tree(nodes).groupBy("neuron_id", "tree_id").applyInPandas(run, _TYPES)
+    """A rewriting pass on each tree."""
+    return _by_tree(nodes, lambda neuron, f: ((neuron, *row) for row in function(f).records()), _TYPES)
 
 
 def remove_zigzags(nodes: DataFrame) -> DataFrame:
@@ -127,12 +156,7 @@ def trunk_lengths(nodes: DataFrame) -> DataFrame:
     """neuron_id, root_id, trunk: the geodesic of the pair of ends with the largest mix of geodesic and
     straight distance. A tree's cycle, if it has one, is opened at its smallest node."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = _forest(pdf)
-        found = [(pdf["neuron_id"].iloc[0], int(r), forest.trunk_length(f, r)) for r in f.roots()]
-        return pd.DataFrame(found, columns=["neuron_id", "root_id", "trunk"])
-
-    return with_tree(nodes).groupBy("neuron_id", "tree_id").applyInPandas(run, "neuron_id bigint, root_id int, trunk double")
+    return _by_tree(nodes, lambda neuron, f: [(neuron, r, forest.trunk_length(f, r)) for r in f.roots()], "neuron_id bigint, root_id int, trunk double")
 
 
 def remove_short_trees(nodes: DataFrame, least: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxtree.functions import geometry as g
-from voxtree.operators import graphs, spatial, trees, voxels
+from voxtree.operators import graphs, manifest, spatial, trees, voxels
 from voxtree.plans.fixtures import GRAPH, NODES, PTS, SEG, SHAPE, VOL, graph, points, segments, volume
 from voxtree.plans.tables import table
 
@@ -287,10 +287,10 @@ def kernel_grid(spark, path):
 @query("""WITH t AS (SELECT k, 0.1 + k * 0.2 AS theta FROM range(12) r(k) WHERE 0.1 + k * 0.2 < 0.75 * pi()), s AS (SELECT k, theta, 2.0 / 11 / sin(theta) AS step FROM t)
 SELECT k, count(*) AS n, round(max(q * step), 6) AS last FROM s, range(400) u(q) WHERE q * step < 2 * pi() GROUP BY 1""")
 def orientation_schedule(spark, path):
-    theta = 0.1 + F.col("id") * 0.2
-    step = 2.0 / 11 / F.sin(theta)
-    n = F.ceil(2 * 3.141592653589793 / step)
-    return spark.range(12).where(theta < 0.75 * 3.141592653589793).select(F.col("id").alias("k"), n.alias("n"), r6((n - 1) * step).alias("last"))
+    from voxtree.kernels.tube import angle_grid
+
+    grid = spark.createDataFrame(angle_grid(11.0).tolist(), "theta double, psi double")
+    return grid.groupBy(F.round((F.col("theta") - 0.1) / 0.2).cast("bigint").alias("k")).agg(F.count(F.lit(1)).alias("n"), r6(F.max("psi")).alias("last"))
 
 
 # ---- geometry ----
@@ -326,10 +326,14 @@ def rotate_points(spark, path):
     return segments(spark, path).select("id", *[r6(c).alias(a) for a, c in zip("xyz", v, strict=True)])
 
 
-@query(f"""WITH {SEG}, k AS (SELECT id, CASE WHEN dz < 0 THEN -1 ELSE 1 END AS s, dx, dy, dz FROM seg2)
-SELECT id, round(acos(least(1, greatest(-1, s * dz))), 6) AS theta FROM k""")
+@query(f"""WITH {SEG}, k AS (SELECT id, CASE WHEN dz < 0 THEN -1 ELSE 1 END AS s, dx, dy, dz FROM seg2), a AS (SELECT id, round(acos(least(1, greatest(-1, s * dz))), 6) AS theta, atan2(s * dx, -s * dy) AS p, dx, dy FROM k)
+SELECT id, theta, CASE WHEN abs(dx) + abs(dy) > 1e-9 THEN round(CASE WHEN p < -5e-7 THEN p + 2 * pi() ELSE greatest(p, 0) END, 5) % round(2 * pi(), 5) END AS psi FROM a""")
 def direction_angles(spark, path):
-    return segments(spark, path).select("id", r6(g.angles(_seg_vectors()[1])[0]).alias("theta"))
+    """An axis along z has any psi."""
+    axis = _seg_vectors()[1]
+    theta, psi = g.angles(axis)
+    turned = F.round(F.when(psi > 2 * 3.141592653589793 - 5e-7, 0.0).otherwise(psi), 5) % F.round(F.lit(2 * 3.141592653589793), 5)
+    return segments(spark, path).select("id", r6(theta).alias("theta"), F.when(F.abs(axis[0]) + F.abs(axis[1]) > 1e-9, turned).alias("psi"))
 
 
 @query(f"WITH {_LOCAL} SELECT id, (lx / (r * s)) ** 2 + (ly / r) ** 2 <= 1 AND lz >= -0.5 AND lz <= len - 0.5 AS inside FROM lo")
@@ -560,17 +564,12 @@ def tree_postprocess(spark, path):
 
 @query("SELECT lower(trim(status, ' ' || chr(9))) AS status, count(*) AS n, round(avg(elapsed_seconds), 6) AS mean_seconds FROM manifest GROUP BY 1")
 def manifest_status_counts(spark, path):
-    from voxtree.functions.instants import status_name
-
-    return table(spark, path, "manifest").groupBy(status_name(F.col("status")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("elapsed_seconds"), 6).alias("mean_seconds"))
+    return manifest.status_counts(table(spark, path, "manifest")).withColumn("mean_seconds", F.round("mean_seconds", 6))
 
 
 @query("SELECT result_id, image_path FROM trace_result t WHERE NOT EXISTS (SELECT 1 FROM manifest m WHERE m.output_swc = t.output_swc AND lower(trim(m.status)) = 'completed')")
 def skip_existing_outputs(spark, path):
-    from voxtree.functions.instants import status_name
-
-    done = table(spark, path, "manifest").where(status_name(F.col("status")) == "completed").select("output_swc")
-    return table(spark, path, "trace_result").join(done, "output_swc", "left_anti").select("result_id", "image_path")
+    return manifest.without_output(table(spark, path, "trace_result"), table(spark, path, "manifest")).select("result_id", "image_path")
 
 
 @query(r"SELECT image_path, CASE WHEN regexp_matches(lower(image_path), '\.tiff?$') THEN 'tiff' WHEN regexp_matches(lower(image_path), '\.(v3draw|raw)$') THEN 'v3draw' WHEN regexp_matches(lower(image_path), '\.v3dpbd$') THEN 'v3dpbd' WHEN regexp_matches(lower(image_path), '\.nii(\.gz)?$') THEN 'nifti' WHEN regexp_matches(lower(image_path), '\.(nrrd|nhdr)$') THEN 'nrrd' END AS format, count(*) AS n FROM neuron GROUP BY 1, 2")
@@ -584,11 +583,9 @@ def format_detection(spark, path):
 
 
 def _traced(spark: SparkSession, path: str, until: str, strategy: str = "lazy") -> DataFrame:
-    from voxtree.operators.tracing import stored_images, trace_images
+    from voxtree.operators.tracing import spread, stored_images, trace_images
 
-    # images differ in size: rows go round all tasks
-    images = stored_images(table(spark, path, "trace_result"))
-    return trace_images(images.repartition(4 * spark.sparkContext.defaultParallelism), until=until, strategy=strategy)
+    return trace_images(spread(stored_images(table(spark, path, "trace_result"))), until=until, strategy=strategy)
 
 
 @query()
@@ -639,19 +636,17 @@ def chain_connect(spark, path):
 
 
 def _links_of(spark: SparkSession, path: str) -> DataFrame:
-    from voxtree.operators.tracing import connections, stored_images
+    from voxtree.operators.tracing import connections, spread, stored_images
 
-    images = stored_images(table(spark, path, "trace_result"))
-    return connections(images.repartition(4 * spark.sparkContext.defaultParallelism))
+    return connections(spread(stored_images(table(spark, path, "trace_result"))))
 
 
 @query()
 def geodesic_path(spark, path):
     """The cheapest way from the brightest voxel of the first slice to that of the last, of every image."""
-    from voxtree.operators.tracing import end_to_end_paths, stored_images
+    from voxtree.operators.tracing import end_to_end_paths, spread, stored_images
 
-    images = stored_images(table(spark, path, "trace_result"))
-    return end_to_end_paths(images.repartition(4 * spark.sparkContext.defaultParallelism))
+    return end_to_end_paths(spread(stored_images(table(spark, path, "trace_result"))))
 
 
 # ---- more shapes ----
@@ -700,6 +695,8 @@ def normalize_angles(spark, path):
 
 @query(f"WITH {SEG} SELECT min(sx) AS x0, max(sx) AS x1, min(sy) AS y0, max(sy) AS y1, CAST(floor(min(sz) - 1.5) AS BIGINT) AS z0, CAST(ceil(max(sz) + 1.5) AS BIGINT) AS z1 FROM seg")
 def bounding_box(spark, path):
-    return segments(spark, path).agg(
-        F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"), F.floor(F.min("sz") - 1.5).cast("bigint").alias("z0"), F.ceil(F.max("sz") + 1.5).cast("bigint").alias("z1")
-    )
+    box = spatial.bounding_box(segments(spark, path), ("sx", "sy", "sz"))
+    return box.select(
+        F.col("sx0").alias("x0"), F.col("sx1").alias("x1"), F.col("sy0").alias("y0"), F.col("sy1").alias("y1"),
+        F.floor(F.col("sz0") - 1.5).cast("bigint").alias("z0"), F.ceil(F.col("sz1") + 1.5).cast("bigint").alias("z1"),
+    )

@@ -48,14 +48,15 @@ def progress_by_stage(events: DataFrame, every: str = "10 seconds", late: str =
 
 
 def throttled(events: list[tuple[str, str, int | None, int | None]], refresh_every: int, seconds: list[float] | None = None, least_seconds: float = float("inf")) -> list[tuple[str, str, int | None, int | None]]:
-    """Of one file's events those worth showing: a change of stage, every ``refresh_every`` steps, after
-    ``least_seconds`` without one, and the last step of a stage."""
+    """Of one file's events those worth showing. Beside the last one shown an event is news if its stage or total is
+    another, if either of them has no count, if it is the first or last step of its stage, if the count
+    began again, or if it is ``refresh_every`` steps or ``least_seconds`` further on."""
     shown: list[tuple[str, str, int | None, int | None]] = []
-    stage, step, at = None, 0, 0.0
-    for n, event in enumerate(events):
-        _, name, current, total = event
-        clock = seconds[n] if seconds else 0.0
-        if name != stage or current is None or current == total or current - step >= refresh_every or clock - at >= least_seconds:
+    at = 0.0
+    for event, clock in zip(events, seconds or [0.0] * len(events), strict=True):
+        _, stage, current, total = event
+        _, old_stage, old, old_total = shown[-1] if shown else (None,) * 4
+        if (stage, total) != (old_stage, old_total) or None in (current, total, old) or not (0 < current < total and 0 <= current - old < refresh_every and clock - at < least_seconds):
             shown.append(event)
-            stage, step, at = name, current or 0, clock
+            at = clock
     return shown
