@@ -1,14 +1,13 @@
 """Session set-up, and how this library cuts a lineage.
 
 Tables are written to the folder that ``spark.checkpoint.dir`` names, which every executor shares, so that a
-lost executor costs a re-read and never a recomputation of the whole plan. Only where the session names
-no folder (tests, a laptop) is one made under the local temporary directory.
+lost executor costs a re-read and never a recomputation of the whole plan. A session of one process that
+names no folder gets one beside its shuffle files; a cluster must name one.
 """
 
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import weakref
 import zipfile
@@ -62,12 +61,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one is chosen only where the session has none."""
+    """The folder of ``spark.checkpoint.dir``. Only a session that runs in one process may have none: nothing there is
+    read by another machine."""
     context = spark.sparkContext
     named = spark.conf.get(KEY, None) or context.getConf().get(KEY, None)
     current = context.getCheckpointDir()
     if current is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxtree-"))
+        if named is None and context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError(f"set {KEY} to a folder that all executors share")
+        scratch = context.getConf().get("spark.local.dir", None) or spark._jvm.System.getProperty("java.io.tmpdir")
+        context.setCheckpointDir(named or f"file:{scratch.split(',')[0]}/voxtree-{context.applicationId}")
         current = context.getCheckpointDir()
     return named or current.rsplit("/", 1)[0]
 
