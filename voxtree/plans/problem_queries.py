@@ -47,6 +47,12 @@ def p6_found(spark: SparkSession, path: str) -> DataFrame:
     return foreign_units(_units(spark, path))
 
 
+def p6_history(spark: SparkSession, path: str) -> DataFrame:
+    """The unit that the changepoint search alone gives each file, beside what is stated."""
+    units = _units(spark, path)
+    return units.select("neuron_id", "history_unit", "swc_unit", "stated_by", (F.col("history_unit") == F.col("swc_unit")).alias("agrees"))
+
+
 def p6_nodes(spark: SparkSession, path: str) -> DataFrame:
     """All nodes, of parsed files and of raw lines, in micrometres."""
     parsed = table(spark, path, "swc_node").select("neuron_id", "node_id", "x", "y", "z", "radius")
@@ -55,5 +61,5 @@ def p6_nodes(spark: SparkSession, path: str) -> DataFrame:
     return to_micrometres(both, _units(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p4_found, p5_found, p5_hierarchy, p6_found, p6_nodes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p4_found, p5_found, p5_hierarchy, p6_found, p6_history, p6_nodes)}
 ORACLES: dict[str, str] = {"p2_found": problem_sql.P2, "p4_found": problem_sql.P4, "p5_found": problem_sql.P5, "p6_found": problem_sql.P6}
