@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxtree.functions.instants import instant_micros
@@ -50,3 +51,31 @@ def test_watermark(spark):
     assert low_watermark(spark.createDataFrame([], RUN)).first()[0] is None
     records = spark.createDataFrame([(1, "a", "b", "c", None, None, T(2025, 12, 1)), (2, "a", "b", "c", None, None, T(2026, 1, 1)), (3, "a", "b", "c", None, None, None)], REC + ", changed timestamp")
     assert sorted(r.record_id for r in pending(records, spark.createDataFrame([], LED), runs, "changed").collect()) == [2, 3]
+
+
+def test_runs_survive_failures(spark, tmp_path):
+    from voxtree.operators.runs import RunState
+
+    at = lambda day: datetime(2026, 1, day)
+    state = RunState(spark, str(tmp_path / "state"))
+    data = [(i, "completed", f"/o{i}", "2026-01-01 00:00:00", at(1), "clash") for i in range(6)] + [(None, None, None, None, None, "no id")]
+    records = spark.createDataFrame(data, "record_id bigint, status string, output_swc string, timestamp_utc string, changed_at timestamp, run_id string")
+    first = state.begin(at(2))
+    assert state.due(records).count() == 7
+    state.handle(first, records.where("record_id < 3"), at(2))  # dies here
+    second = state.begin(at(3))
+    assert state.due(records, "changed_at").count() == 7
+    state.handle(second, records.where("record_id < 4"), at(3))
+    state.handle(second, records.where("record_id < 4"), at(3))
+    state.end(second, at(4))
+    assert sorted(r.record_id for r in state.due(records).where("record_id is not null").collect()) == [4, 5]
+    third = state.begin(at(5))
+    state.handle(third, records, at(5))
+    state.end(third, at(6), "failed")
+    later = records.withColumn("status", F.when(F.col("record_id") == 1, "failed").otherwise(F.col("status"))).withColumn("changed_at", F.when(F.col("record_id") == 1, F.lit(at(7))).otherwise(F.col("changed_at")))
+    # the first run never ended: all that changed since it began is read again, and nothing older
+    assert {r.record_id for r in state.due(later, "changed_at").collect()} == {1, None}
+    assert {r.record_id for r in state.due(later).collect()} == {1, 4, 5, None}
+    for wrong in (second, third, 99):
+        with pytest.raises(ValueError):
+            state.end(wrong, at(8))
