@@ -12,8 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from voxtree.sources.decode import decode, encode, read_header
@@ -136,14 +136,18 @@ def read_volumes(spark: SparkSession, path: str, **options: object) -> DataFrame
     return spark.read.format("volume").options(**options).load(path)
 
 
-def voxels(volumes: DataFrame) -> DataFrame:
-    """path, z, y, x, v: one row for each voxel of small volumes of 1- or 2-byte values."""
-    n = F.size("shape")
-    row = F.col("shape")[n - 1]
-    plane = row * F.col("shape")[n - 2]
-    item = F.when(F.col("dtype") == "u1", 1).when(F.col("dtype") == "u2", 2).otherwise(F.raise_error(F.lit("voxels of this type are not listed")))
-    text = F.hex("data")
-    at = volumes.select("*", F.posexplode(F.sequence(F.lit(0), (F.octet_length("data") / item).cast("int") - 1)).alias("i", "_")).drop("_")
-    byte = lambda k: F.conv(F.substring(text, F.col("i") * 2 * item + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
-    value = byte(0) + F.when(item == 2, byte(1) * 256).otherwise(0)
-    return at.select("path", (F.floor(F.col("i") / plane) + F.col("z_first")).cast("int").alias("z"), F.floor(F.pmod("i", plane) / row).cast("int").alias("y"), F.pmod("i", row).alias("x"), value.alias("v"))
+def voxels(volumes: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """path, z, y, x, v: one row for each voxel of volumes of 1- or 2-byte whole numbers, ``rows`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, shape, dtype, first, data in zip(*(batch[c] for c in ("path", "shape", "dtype", "z_first", "data")), strict=True):
+                if dtype.as_py() not in ("u1", "u2"):
+                    raise ValueError(f"voxels of type {dtype.as_py()} are not listed")
+                values = np.frombuffer(data.as_buffer(), "<" + dtype.as_py()).astype(np.int32)
+                for at in range(0, len(values), rows):
+                    z, y, x = np.unravel_index(np.arange(at, min(at + rows, len(values))), shape.as_py())
+                    columns = [pa.array(c, pa.int32()) for c in (z + first.as_py(), y, x, values[at : at + rows])]
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(z), pa.string()), *columns], ["path", "z", "y", "x", "v"])
+
+    return volumes.select("path", "shape", "dtype", "z_first", "data").mapInArrow(run, "path string, z int, y int, x int, v int")
