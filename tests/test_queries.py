@@ -6,9 +6,9 @@ import pytest
 pytest.importorskip("duckdb")
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
-from voxtree.plans import problem_queries, reference_queries  # noqa: E402
+from voxtree.plans import growing_queries, problem_queries, reference_queries  # noqa: E402
 
-NAMES = [*problem_queries.QUERIES, *reference_queries.QUERIES]
+NAMES = [*problem_queries.QUERIES, *reference_queries.QUERIES, *growing_queries.QUERIES]
 
 
 @pytest.mark.parametrize("name", NAMES)
