@@ -1,4 +1,5 @@
 import gzip
+import os
 import struct
 import zlib
 
@@ -131,3 +132,29 @@ def test_swc(spark, tmp_path):
     write_swc(nodes, str(tmp_path / "swc"))
     text = "".join(p.read_text() for p in (tmp_path / "swc" / "neuron_id=1").glob("part*"))
     assert text == swc_text([(1, 1, 0, 0, 0, 1, -1), (2, 0, 1, 2, 3, 0.5, 1)])
+
+
+def test_files_by_uri(spark, tmp_path):
+    """Paths and URIs name the same files; names that look like patterns come first."""
+    from voxtree.sources import files
+
+    v = np.arange(24, dtype="u1").reshape(2, 3, 4)
+    folder = tmp_path / "in put"
+    for name in ("a[1].v3draw", "b.v3draw", "deep/c.v3draw"):
+        d.write_volume(v, str(folder / name))
+    plain, uri = str(folder), f"file://{folder}".replace(" ", "%20")
+    assert [os.path.basename(f) for f in volume_files(plain)] == ["a[1].v3draw", "b.v3draw"] == [os.path.basename(f) for f in volume_files(uri)]
+    assert all((d.read_volume(f) == v).all() for f in volume_files(uri))
+    assert volume_files(f"{plain}/a[1].v3draw") == [f"{plain}/a[1].v3draw"] and volume_files(f"{plain}/[b].v3*") == [f"{plain}/b.v3draw"]
+    assert [os.path.basename(f) for f in volume_files(f"{plain}/*/*.v3draw")] == ["c.v3draw"]
+    with pytest.raises(FileNotFoundError):
+        volume_files(f"{plain}/none*")
+    out = f"file://{tmp_path}/out/x.v3draw"
+    d.write_volume(v, out)
+    assert (d.read_volume(out) == v).all() and d.read_header(out).volume_shape() == (2, 3, 4) and files.exists(out) and not files.exists(out + "y")
+    with pytest.raises(FileExistsError):
+        d.write_volume(v, out)
+    assert read_volumes(spark, f"file://{tmp_path}/out", slab=1).count() == 2
+    files.append(f"file://{tmp_path}/log/m", b"1")
+    files.append(f"{tmp_path}/log/m", b"2")
+    assert files.read(f"{tmp_path}/log/m") == b"12" and files.existing([out, f"{tmp_path}/log/m", "/none"]) == {out, f"{tmp_path}/log/m"}

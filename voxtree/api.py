@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 import numpy as np
 
@@ -16,6 +15,7 @@ from voxtree.kernels.trace import Chain, Seed, good_chains, grow_chains, scored_
 from voxtree.kernels.tube import Config
 from voxtree.kernels.volume import as_volume, closed_mask, estimated_threshold, signal_of
 from voxtree.operators.tracing import deadline
+from voxtree.sources import files
 from voxtree.sources.decode import read_volume
 from voxtree.sources.swc import swc_text
 
@@ -104,9 +104,8 @@ def trace_volume(image: Image, *, config: Config | dict | None = None, strategy:
 
 def save_swc(forest: Forest, path: str) -> None:
     """Write a forest as an SWC file."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
     f = forest.frame()
-    Path(path).write_text(swc_text(f[["node_id", "node_type", "x", "y", "z", "radius", "parent_id"]].to_numpy().tolist()))
+    files.write(path, swc_text(f[["node_id", "node_type", "x", "y", "z", "radius", "parent_id"]].to_numpy().tolist()).encode())
 
 
 def output_paths(image_path: str, output_swc: str | None, figure_dir: str | None) -> list[str]:
@@ -114,7 +113,7 @@ def output_paths(image_path: str, output_swc: str | None, figure_dir: str | None
     name = os.path.basename(image_path)
     out = [output_swc] if output_swc else []
     if figure_dir:
-        out += [os.path.join(figure_dir, kind, f"{name}.png") for kind in figures.KINDS]
+        out += [files.joined(figure_dir, kind, f"{name}.png") for kind in figures.KINDS]
     return out
 
 
@@ -123,7 +122,8 @@ def trace_file(image_path: str, *, output_swc: str | None = None, figure_dir: st
     if on_exists not in ON_EXISTS:
         raise ValueError(f"on_exists is one of {', '.join(ON_EXISTS)}")
     paths = output_paths(image_path, output_swc, figure_dir)
-    there = next((p for p in paths if os.path.exists(p)), None)
+    found = files.existing(paths)
+    there = next((p for p in paths if p in found), None)
     if there and on_exists == "error":
         raise FileExistsError(there)
     if there and on_exists == "skip":

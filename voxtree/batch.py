@@ -6,7 +6,6 @@ import json
 import os
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from voxtree.api import ON_EXISTS, output_paths, settings, trace_file
 from voxtree.kernels.tube import Config
 from voxtree.operators.tracing import RECORD, deadline, recorded
+from voxtree.sources import files
 from voxtree.sources.formats import format_of
 from voxtree.sources.volumes import volume_files
 
@@ -31,10 +31,8 @@ def resolve_jobs(n: int, cpus: int) -> int:
 
 def append_manifest(path: str, records: list[dict]) -> None:
     """One line of JSON for each record; ``reason`` only where there is one."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "a", encoding="ascii") as f:
-        for r in records:
-            f.write(json.dumps({k: v for k, v in r.items() if k != "reason" or v is not None}, ensure_ascii=True) + "\n")
+    lines = [json.dumps({k: v for k, v in r.items() if k != "reason" or v is not None}, ensure_ascii=True) + "\n" for r in records]
+    files.append(path, "".join(lines).encode("ascii"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +51,9 @@ def trace_table(
         raise ValueError("there are no files to trace")
     if on_exists not in ON_EXISTS:
         raise ValueError(f"on_exists is one of {', '.join(ON_EXISTS)}")
+    there = files.existing(paths)
     for p in paths:
-        if not os.path.exists(p):
+        if p not in there:
             raise FileNotFoundError(p)
         format_of(p)
     c = settings(config)
@@ -65,7 +64,7 @@ def trace_table(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path in pdf["path"]:
-                out = os.path.join(output_dir, f"{os.path.basename(path)}.swc")
+                out = files.joined(output_dir, f"{os.path.basename(path)}.swc")
 
                 def work(path=path, out=out) -> dict:  # noqa: ANN001
                     result = trace_file(path, output_swc=out, figure_dir=figure_dir, on_exists=on_exists, config=c, strategy=strategy, timeout=timeout)
@@ -103,7 +102,9 @@ def trace_directory(spark: SparkSession, directory: str, output_dir: str, *, suf
 
 def existing_outputs(paths: list[str], output_dir: str, figure_dir: str | None = None) -> list[str]:
     """The input files that have an output already."""
-    return [p for p in paths if any(map(os.path.exists, output_paths(p, os.path.join(output_dir, f"{os.path.basename(p)}.swc"), figure_dir)))]
+    outputs = {p: output_paths(p, files.joined(output_dir, f"{os.path.basename(p)}.swc"), figure_dir) for p in paths}
+    there = files.existing({o for own in outputs.values() for o in own})
+    return [p for p, own in outputs.items() if there.intersection(own)]
 
 
 def now() -> str:

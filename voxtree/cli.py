@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 from voxtree.api import trace_file
 from voxtree.batch import trace_directory
+from voxtree.sources import files
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -26,7 +26,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 def main(argv: list[str] | None = None) -> int:
     a = arguments(argv)
-    if not os.path.isdir(a.input):
+    if not files.is_directory(a.input):
         out = a.output or f"{a.input}.swc"
         r = trace_file(a.input, output_swc=out, figure_dir=a.figures, on_exists=a.on_exists or "error", strategy=a.strategy, timeout=a.timeout, max_seeds=a.max_seeds)
         print(f"{'skipped' if r.skipped else 'written'}: {out}")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from pathlib import Path
 
 import numpy as np
 
 from voxtree.kernels.forest import Forest
 from voxtree.kernels.trace import Chain
 from voxtree.kernels.tube import Tube
+from voxtree.sources import files
 
 #: The figures of one trace.
 KINDS = ("result", "seeds", "chains", "pre_postprocess")
@@ -75,5 +75,4 @@ def png(pixels: np.ndarray) -> bytes:
 
 def save_overlay(flat: np.ndarray, lines: list[Line], path: str) -> None:
     """Draw and write a figure."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_bytes(png(drawn(flat, lines)))
+    files.write(path, png(drawn(flat, lines)))

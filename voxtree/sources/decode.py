@@ -13,11 +13,11 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass, field
-from pathlib import Path
 
 import numpy as np
 
 from voxtree.kernels.volume import as_volume
+from voxtree.sources import files
 from voxtree.sources.formats import format_of
 
 # The first bytes of the raw and the packed format, and their pixel types.
@@ -235,7 +235,7 @@ def _nrrd_header(data: bytes) -> Header:
 def _nrrd_pixels(data: bytes, h: Header, directory: str | None = None) -> np.ndarray:
     body, name = data[h.offset :], h.metadata.get("data file") or h.metadata.get("datafile")
     if name:
-        body = (Path(directory or ".") / name).read_bytes()
+        body = files.read(files.joined(directory or ".", name))
     how = h.metadata.get("encoding", "raw")
     if how in ("gzip", "gz"):
         body = gzip.decompress(body)
@@ -272,15 +272,12 @@ def decode(data: bytes, kind: str, directory: str | None = None) -> np.ndarray:
 def read_header(path: str) -> Header:
     """The header of a file; of raw formats no pixel is read."""
     kind = format_of(path)
-    with open(path, "rb") as f:
-        return header_of(f.read(_VAA_HEADER) if kind in ("v3draw", "v3dpbd") else f.read(), kind)
+    return header_of(files.read(path, 0, _VAA_HEADER if kind in ("v3draw", "v3dpbd") else None), kind)
 
 
 def read_volume(path: str) -> np.ndarray:
     """The volume in a file."""
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    return decode(Path(path).read_bytes(), format_of(path), os.path.dirname(path))
+    return decode(files.read(path), format_of(path), os.path.dirname(path))
 
 
 def encode(volume: np.ndarray, kind: str, compressed: bool = False) -> bytes:
@@ -324,11 +321,9 @@ def encode(volume: np.ndarray, kind: str, compressed: bool = False) -> bytes:
 
 def write_volume(volume: np.ndarray, path: str, overwrite: bool = False) -> None:
     """Write a file in the format of its suffix."""
-    if os.path.exists(path) and not overwrite:
+    if not overwrite and files.exists(path):
         raise FileExistsError(path)
-    body = encode(volume, format_of(path), path.lower().endswith(".gz"))
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_bytes(body)
+    files.write(path, encode(volume, format_of(path), path.lower().endswith(".gz")))
 
 
 def convert(source: str, target: str, overwrite: bool = False) -> None:

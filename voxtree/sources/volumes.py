@@ -6,7 +6,6 @@ their bytes. The option ``pixels`` = false reads headers alone.
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from voxtree.sources import files
 from voxtree.sources.decode import decode, encode, read_header
 from voxtree.sources.formats import SUFFIXES, format_of
 
@@ -32,11 +32,10 @@ class _Part(InputPartition):
 def volume_files(path: str, suffixes: tuple[str, ...] | None = None) -> list[str]:
     """The volume files that a file, directory or pattern names, in order; an empty list is an error."""
     allowed = suffixes or tuple(s for group in SUFFIXES.values() for s in group)
-    found = [os.path.join(path, f) for f in os.listdir(path)] if os.path.isdir(path) else glob.glob(glob.escape(path)) or glob.glob(path)
-    files = sorted(f for f in found if os.path.isfile(f) and f.lower().endswith(tuple(s.lower() for s in allowed)))
-    if not files:
+    found = [f for f in files.listed(path) if f.lower().endswith(tuple(s.lower() for s in allowed))]
+    if not found:
         raise FileNotFoundError(f"no volume files in {path}")
-    return files
+    return found
 
 
 class _Reader(DataSourceReader):
@@ -63,19 +62,16 @@ class _Reader(DataSourceReader):
             yield part.path, h.format, list(shape), kind.str[1:], meta, 0, None
         elif part.slices:
             step = shape[1] * shape[2] * h.dtype.itemsize
-            with open(part.path, "rb") as f:
-                f.seek(h.offset + part.first * step)
-                raw = np.frombuffer(f.read(part.slices * step), h.dtype)
+            raw = np.frombuffer(files.read(part.path, h.offset + part.first * step, part.slices * step), h.dtype)
             yield part.path, h.format, [part.slices, *shape[1:]], kind.str[1:], meta, part.first, raw.astype(kind).tobytes()
         else:
-            with open(part.path, "rb") as f:
-                a = decode(f.read(), h.format, os.path.dirname(part.path))
+            a = decode(files.read(part.path), h.format, os.path.dirname(part.path))
             yield part.path, h.format, list(a.shape), a.dtype.str[1:], meta, 0, a.astype(a.dtype.newbyteorder("<")).tobytes()
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list[str]
+    names: list[str]
 
 
 class _Writer(DataSourceWriter):
@@ -85,27 +81,23 @@ class _Writer(DataSourceWriter):
         self.path, self.kind, self.overwrite = options["path"], options.get("suffix"), overwrite
 
     def write(self, rows: Iterator) -> _Written:
-        files = []
-        os.makedirs(self.path, exist_ok=True)
+        names = []
         for row in rows:
-            name = os.path.join(self.path, os.path.basename(row["path"]) + (self.kind or ""))
-            if os.path.exists(name) and not self.overwrite:
+            name = files.joined(self.path, os.path.basename(row["path"]) + (self.kind or ""))
+            if files.exists(name) and not self.overwrite:
                 raise FileExistsError(name)
             a = np.frombuffer(row["data"], "<" + row["dtype"]).reshape(row["shape"])
-            temporary = f"{name}.{os.getpid()}.part"
-            with open(temporary, "wb") as f:
-                f.write(encode(a, format_of(name), name.lower().endswith(".gz")))
-            os.replace(temporary, name)
-            files.append(name)
-        return _Written(files)
+            files.write(name, encode(a, format_of(name), name.lower().endswith(".gz")))
+            names.append(name)
+        return _Written(names)
 
     def commit(self, messages: list) -> None:
         pass
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            for f in m.files if m else []:
-                os.remove(f)
+            for f in m.names if m else []:
+                files.remove(f)
 
 
 class VolumeSource(DataSource):

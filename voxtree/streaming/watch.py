@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxtree.batch import trace_table
+from voxtree.sources import files
 from voxtree.sources.formats import SUFFIXES
 
 
@@ -27,8 +27,9 @@ def watch_directory(spark: SparkSession, directory: str, output_dir: str, manife
 
     def run(batch: DataFrame, number: int) -> None:
         # as many rows as files of one trigger
-        paths = sorted(unquote(urlparse(r["path"]).path) for r in batch.collect())
-        paths = [p for p in paths if p.lower().endswith(allowed) and os.path.exists(p)]
+        paths = sorted(unquote(urlparse(p).path) if p.startswith("file:") else p for p in (r["path"] for r in batch.collect()))
+        there = files.existing(paths)
+        paths = [p for p in paths if p.lower().endswith(allowed) and p in there]
         if paths:
             rows = trace_table(spark, paths, output_dir, **{"on_exists": "skip"} | options)
             rows.write.mode("overwrite").json(f"{manifest_dir}/batch={number}")
