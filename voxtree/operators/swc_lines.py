@@ -3,8 +3,8 @@
 Structure (quoting, number of fields) is judged line by line with possessive patterns, which neither
 backtrack nor recurse, so that a line of any length is safe. Values are judged once each: the distinct
 texts of every kind of column are cast, those that fail form a dictionary of invalid values with
-reasons, and the dictionary is joined back to the lines' fields. The dictionary is written to the
-shared folder first; its true size then decides between a broadcast and a shuffled join.
+reasons, and the dictionary is joined back to the lines' fields. Fields and dictionary are written to the
+shared folder first; the true size of the dictionary then decides between a broadcast and a shuffled join.
 
 Defined results: a null line is blank; a line of an unknown neuron, or one without ``n_cols``, must
 have seven fields; repeated rows give one rejected line; columns that other tables add are ignored.
@@ -59,36 +59,33 @@ def _sound_value(kind: Column, text: Column) -> Column:
 
 @dataclass(frozen=True)
 class ParsedLines:
-    """``structure``: the row lines with their fields, and the reason of those of bad structure;
-    ``invalid``: the dictionary of invalid values (kind, value)."""
+    """``structure``: the row lines with their fields, a hash of the line (mark), and the reason of those of bad
+    structure; ``invalid``: the dictionary of invalid values (kind, value)."""
 
     structure: DataFrame
     invalid: DataFrame
 
     def _bad_values(self) -> DataFrame:
-        return _fields(self.structure).join(self.invalid, ["kind", "value"]).select("neuron_id", "line_no", "raw_line").distinct()
+        return _fields(self.structure).join(self.invalid, ["kind", "value"])
 
     def rejected(self) -> DataFrame:
-        """neuron_id, line_no, reason, raw_line."""
+        """neuron_id, line_no, reason, and the raw_line (the smallest of repeated ones that differ)."""
         structural = self.structure.where("reason is not null").select("neuron_id", "line_no", "reason", "raw_line")
         values = self._bad_values().select("neuron_id", "line_no", F.lit("value").alias("reason"), "raw_line")
-        return structural.unionByName(values).distinct()
+        return structural.unionByName(values).groupBy("neuron_id", "line_no", "reason").agg(F.min("raw_line").alias("raw_line"))
 
     def valid(self) -> DataFrame:
         """neuron_id, line_no and the seven typed columns; further columns stay as text in ``extra``."""
-        bad = self._bad_values().select(
-            F.col("neuron_id").alias("_n"), F.col("line_no").alias("_l"), F.col("raw_line").alias("_r")
-        )
-        good = self.structure.where("reason is null").join(
-            bad, F.col("neuron_id").eqNullSafe(F.col("_n")) & F.col("line_no").eqNullSafe(F.col("_l")) & (F.col("raw_line") == F.col("_r")), "left_anti"
-        )
+        bad = self._bad_values().select(F.col("neuron_id").alias("_n"), F.col("line_no").alias("_l"), F.col("mark").alias("_m")).distinct()
+        same = F.col("neuron_id").eqNullSafe(F.col("_n")) & F.col("line_no").eqNullSafe(F.col("_l")) & (F.col("mark") == F.col("_m"))
+        good = self.structure.where("reason is null").join(bad, same, "left_anti")
         typed = [(real(f) if kind in ("real", "size") else whole(f)).alias(name) for i, (name, kind) in enumerate(COLUMNS) for f in [F.col("fields")[i]]]
         return good.select("neuron_id", "line_no", *typed, F.slice("fields", 8, F.greatest(F.size("fields") - 7, F.lit(0))).alias("extra"))
 
 
 def _fields(structure: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col("fields")[i].alias("value")) for i, (_, kind) in enumerate(COLUMNS)])
-    return structure.where("reason is null").select("neuron_id", "line_no", "raw_line", F.inline(pairs))
+    return structure.where("reason is null").select("neuron_id", "line_no", "mark", "raw_line", F.inline(pairs))
 
 
 def parse_swc_lines(lines: DataFrame, neurons: DataFrame, default_cols: int = 7) -> ParsedLines:
@@ -107,8 +104,10 @@ def parse_swc_lines(lines: DataFrame, neurons: DataFrame, default_cols: int = 7)
         rows.join(widths, "neuron_id", "left")
         .withColumn("fields", F.when(~special, simple).when(raw.rlike(SOUND), fields))
         .withColumn("reason", F.when(F.col("fields").isNull(), "quoting").when(F.size("fields") != F.coalesce("_cols", F.lit(default_cols)), "columns"))
-        .drop("_cols")
+        .select("neuron_id", "line_no", F.xxhash64("raw_line").alias("mark"), "fields", "reason", "raw_line")
     )
+    # lines are taken apart once: the dictionary and what is joined with it read the fields
+    structure = materialize(structure)
     values = _fields(structure).select("kind", "value").distinct()
     invalid = values.where(~F.coalesce(_sound_value(F.col("kind"), F.col("value")), F.lit(False)))
     return ParsedLines(structure, materialize(invalid))
