@@ -202,7 +202,7 @@ def _start(word: Column, size: Column) -> Column:
 def cut_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     """Of ``words`` (word) those that were cut, and in how many documents each occurs (own): strict prefixes
     of a word that occurs in at least five documents, and in five times as many as the word itself."""
-    counts = texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(texts.select(F.explode(_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     starts = counts.where("n >= 5 and length(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: _start(F.col("w"), k))).alias("start"), "n")
     longer = starts.groupBy("start").agg(F.max("n").alias("longer"))
     asked = words.select("word").distinct().withColumn("start", _start(F.col("word"), F.length("word"))).join(longer, "start")
