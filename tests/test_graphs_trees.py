@@ -134,3 +134,17 @@ def test_trees_as_one_neuron(spark):
     got = {(r.node_id, r.parent_id) for r in trees.postprocess(nodes).collect()}
     want = f.postprocess(whole)
     assert got == {(i, p) for i, p in want.parent.items()} and 0 < len(got) < len(rows)
+
+
+def test_somata_and_lengths(spark):
+    # 1 is the soma; 2 and 3 below it, 4 below 2, 5 below 3; 6 a loose root with 7; 8 and 9 a cycle; neuron 2 has no node of type 1
+    rows = [(1, 1, 1, 0, -1), (1, 2, 3, 3, 1), (1, 3, 3, 5, 1), (1, 4, 3, 4, 2), (1, 5, 3, 9, 3), (1, 6, 1, 20, 99), (1, 7, 3, 27, 6), (1, 8, 3, 0, 9), (1, 9, 3, 0, 8), (2, 1, 3, 0, -1), (2, 5, 3, 0, -1), (2, 7, 3, 0, None)]
+    nodes = spark.createDataFrame([(n, i, t, float(x), 0.0, 0.0, 1.0, p, "clash") for n, i, t, x, p in rows], "neuron_id bigint, node_id int, node_type int, x double, y double, z double, radius double, parent_id int, root_id string")
+    ids = lambda df: {(r.neuron_id, r.node_id) for r in df.collect()}
+    assert ids(trees.somata(nodes)) == {(1, 1), (1, 6), (2, 1), (2, 5), (2, 7)}
+    assert ids(trees.somata(nodes, strict=True)) == {(1, 1), (2, 1), (2, 5)}
+    assert ids(trees.somata(nodes, strict=True, multiple=False)) == {(1, 1), (2, 1)} == ids(trees.somata(nodes, multiple=False))
+    starts = nodes.where("neuron_id = 1").unionByName(nodes.where("node_id = 1"))
+    got = {r.node_id: r.length for r in trees.lengths_from(nodes.drop("root_id"), starts).where("neuron_id = 1").collect()}
+    assert got == {1: 13.0, 2: 10.0, 4: 9.0, 3: 4.0, 5: 0.0, 6: 7.0, 7: 0.0}
+    assert trees.lengths_from(nodes.limit(0), starts).count() == 0

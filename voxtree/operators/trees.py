@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from voxtree.functions.geometry import distance, vector
 from voxtree.kernels import forest
 from voxtree.operators.hierarchy import hierarchy
+from voxtree.plans.prefix import grouped_prefix_sum
 from voxtree.session import materialize
 
 KEY = ["neuron_id", "node_id"]
@@ -35,6 +36,34 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.join(ids, ["neuron_id", "parent_id"], "left_anti").select(*nodes.columns)
 
 
+def somata(nodes: DataFrame, strict: bool = False, multiple: bool = True) -> DataFrame:
+    """The nodes a neuron is taken to begin at: its roots, or, if ``strict``, the nodes of type 1 marked as roots (parent
+    -1), of a neuron without these all that are so marked. Without ``multiple`` only the one with the smallest id."""
+    found = roots(nodes)
+    if strict:
+        found = nodes.where("parent_id = -1")
+        typed = found.where("node_type = 1")
+        found = typed.unionByName(found.join(typed.select("neuron_id"), "neuron_id", "left_anti").select(*nodes.columns))
+    if multiple:
+        return found
+    first = found.groupBy("neuron_id").agg(F.min("node_id").alias("node_id"))
+    return found.join(first, KEY, "left_semi").select(*nodes.columns)
+
+
+def lengths_from(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """neuron_id, node_id, length: of each given (neuron_id, node_id) the length of all links of its tree that a walk
+    down from the root, children by id, meets from this node on. A node on or below a cycle has none, one that is not
+    there no row."""
+    walk = hierarchy(nodes.select(*KEY, "parent_id", F.lit(None).cast("timestamp").alias("loaded_at"))).where("root_id is not null")
+    step = with_parent(nodes).select(*KEY, distance(vector(""), vector("q")).alias("step"))
+    links = materialize(walk.select(*KEY, "root_id", "lft").join(step, KEY, "left").withColumn("step", F.coalesce("step", F.lit(0.0))))
+    asked = links.join(starts.select(*KEY).distinct(), KEY, "left_semi").select("neuron_id", "node_id", "root_id", F.col("lft").alias("_from"))
+    # sums of the links up to each node, so that no start is compared with all nodes behind it
+    before = grouped_prefix_sum(links, ["neuron_id", "root_id"], ["lft"], "step", "earlier").select(*KEY, (F.col("earlier") + F.col("step")).alias("_upto"))
+    whole = links.groupBy("neuron_id", "root_id").agg(F.sum("step").alias("_all"))
+    return asked.join(before, KEY).join(whole, ["neuron_id", "root_id"]).select(*KEY, (F.col("_all") - F.col("_upto")).alias("length"))
+
+
 def tips(nodes: DataFrame) -> DataFrame:
     """Nodes that are no one's parent."""
     parents = nodes.select("neuron_id", F.col("parent_id").alias("node_id")).where("node_id is not null")
