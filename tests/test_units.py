@@ -77,6 +77,44 @@ def test_files(spark):
     assert out[6] == (5.0, 10.0, 0.5) and out[2] == pytest.approx((0.01, 0.01, 0.001)) and out[99] == (None, None, None)
 
 
+def test_statements_decide_what_states_nothing(spark):
+    """Scanner c has no default: what its other files state says which of its numbers are micrometres."""
+    said = {1: "um", 2: "um", 4: "nm", 6: "um", 9: "voxel"}
+    radius = {1: 50.0, 2: 51.0, 3: 50.5, 4: 50000.0, 5: 50500.0, 6: 49.0, 7: 49.5, 9: 25.0, 10: 25.2}
+    neurons = spark.createDataFrame([(n, "/x", "c", "2 2 2 um", None, f"# units: {said[n]}" if n in said else None, None, None) for n in (*radius, 8, 11)], NEURON)
+    scanners = spark.createDataFrame(SCANNER, "scanner_name string, default_unit string, default_res_unit string")
+    nodes = spark.createDataFrame([(n, 1, 1.0, 1.0, 1.0, r, None) for n, r in radius.items()], NODE)
+    lines = spark.createDataFrame([(8, 1, "1 2 3 4 5 48.5 -1"), (8, 2, "2 2 3 4 5 1e999 1")], LINE)
+    got = {r.neuron_id: (r.swc_unit, r.stated_by) for r in u.file_units(neurons, scanners, nodes, lines).collect()}
+    nothing = {3: "um", 5: "nm", 7: "um", 8: "um", 10: "voxel", 11: "voxel"}
+    assert got == {**{n: (unit, "file") for n, unit in said.items()}, **{n: (unit, "history") for n, unit in nothing.items()}}
+
+
+def test_infinite_radius_in_a_line(spark):
+    lines = spark.createDataFrame([(1, 1, "1 2 3 4 5 10 -1"), (1, 2, "2 2 3 4 5 1e999 1")], LINE)
+    assert [tuple(r) for r in u._line_evidence(lines).select("sum_log", "n").collect()] == [(1.0, 1)]
+
+
+def test_search_through_statements(spark):
+    rng = np.random.default_rng(3)
+    stated = [None, "mm", None, None, "um", None, "voxel", None]
+    levels, shift = rng.choice([0.0, 3.0, -3.0], 8) + rng.normal(0, 0.3, 8), {"um": 0, "nm": 3, "mm": -3, "voxel": 0.7}
+    df = spark.createDataFrame([("s", i, i, float(v), -0.7, s) for i, (v, s) in enumerate(zip(levels, stated, strict=True))], "source string, at int, neuron_id bigint, level double, voxel double, stated string")
+    # one statement each says nothing of the level of the source; a wide deviation makes neighbours matter
+    rows = {r.neuron_id: r for r in u.segment_history(df, least_spread=2.0, least_stated=9).collect()}
+    rest = sorted(levels - 3 * np.round(levels / 3))
+    best = {}
+    for base in rest:  # whichever of these the approximate median is
+        cost = np.array([[((v - base - shift[k]) / 2.0) ** 2 / 2 for k in u.UNITS] for v in levels])
+        ways = [w for w in product(range(4), repeat=8) if all(s is None or u.UNITS[k] == s for k, s in zip(w, stated, strict=True))]
+        total = lambda w: sum(cost[i, k] for i, k in enumerate(w) if stated[i] is None) + 4.0 * sum(a != b for a, b in zip(w, w[1:], strict=False))  # noqa: B023, E731
+        best[base] = [u.UNITS[k] for k in min(ways, key=total)]
+    got = [rows[i].unit for i in range(8)]
+    assert all(s is None or g == s for g, s in zip(got, stated, strict=True)) and got in best.values()
+    alone = u.segment_history(df.drop("stated"), least_spread=2.0)
+    assert {r.neuron_id: r.history_unit for r in alone.collect()} == {n: r.history_unit for n, r in rows.items()}
+
+
 def test_empty(spark):
     empty = [spark.createDataFrame([], s) for s in (NEURON, "scanner_name string, default_unit string, default_res_unit string", NODE, LINE)]
     assert u.file_units(*empty).count() == 0

@@ -6,16 +6,17 @@ level of a segment differs from the source's own in micrometres by a known facto
 size): each segment is marked with the unit to reverse. The search is a shortest path over files and
 units; ranges of the history are reduced to small cost matrices in parallel, the matrices are chained,
 and every range is then traced back between its two fixed ends, so that no task ever holds a whole
-history. The stated units are then checked file by file: what the file's own text says, else the unit
-text, else the source's default; a statement overrules the history, which decides where nothing is
-stated. ``history_unit`` stays in the result, so that files whose numbers contradict their statement
-can be found.
+history. What is stated of a file counts: what its own text says, else the unit text, else the source's
+default. So the search is made twice at once: by the numbers alone (``history_unit``, so that files whose
+numbers contradict their statement can be found), and through the stated units as fixed points, the
+level of micrometres being that of the source's stated files. The second decides each file of which
+nothing is stated.
 
 Defined results: a null or empty source is the one named in the image path; unreadable statements are
 none; of several statements in one file the first counts, values that carry units come after comments;
 a file without nodes, or with no positive radius, has no say in its source's history and takes the unit
-of the segment it lies in; repeated rows of a neuron give one row (the largest values). Lengths whose
-unit is unknown stay null.
+of the segment it lies in; a source of few stated files has the level of micrometres that the numbers
+give; repeated rows of a neuron give one row (the largest values). Lengths whose unit is unknown stay null.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def _line_evidence(lines: DataFrame) -> DataFrame:
     radius = F.regexp_extract(raw, value, 1).try_cast("double")
     unit = F.when(F.length(F.regexp_extract(raw, value, 2)) > 0, unit_name(F.regexp_extract(raw, value, 2)))
     rows = lines.where("neuron_id is not null and raw_line is not null").select(
-        "neuron_id", "line_no", says.alias("says"), F.when(radius > 0, F.log10(radius)).alias("log_r"), unit.alias("unit")
+        "neuron_id", "line_no", says.alias("says"), F.when((radius > 0) & (radius < float("inf")), F.log10(radius)).alias("log_r"), unit.alias("unit")
     )
     counts = [F.count(F.when(F.col("unit") == u, 1)).alias(f"n_{u}") for u in UNITS]
     found = rows.groupBy("neuron_id").agg(
@@ -134,6 +135,16 @@ def _costs(y: np.ndarray, voxel: np.ndarray, base: float, spread: float) -> np.n
     return cost
 
 
+def _through(cost: np.ndarray, stated: pd.Series) -> np.ndarray:
+    """The costs of paths through the stated units."""
+    cost = cost.copy()
+    for state, unit in enumerate(UNITS):
+        rows = (stated == unit).to_numpy()
+        cost[rows] = np.inf
+        cost[rows, state] = 0
+    return cost
+
+
 def _best_path(cost: np.ndarray, penalty: float, first: int | None, last: int | None) -> np.ndarray:
     """The exact minimum of costs plus penalties for changes, between given ends."""
     n = len(cost)
@@ -162,31 +173,47 @@ def _ends(cost: np.ndarray, penalty: float) -> np.ndarray:
     return way
 
 
-def segment_history(files: DataFrame, least_spread: float = 0.01, penalty: float = 4.0) -> DataFrame:
-    """``files`` (source, at, neuron_id, level, voxel) with ``history_unit``.
+def segment_history(files: DataFrame, least_spread: float = 0.01, penalty: float = 4.0, least_stated: int = 3) -> DataFrame:
+    """``files`` (source, at, neuron_id, level, voxel, and stated where units are) with ``history_unit`` and ``unit``.
 
     level: mean log10 of the radii as recorded; voxel: log10 of the voxel size in micrometres.
+    ``history_unit`` is what the numbers alone say, ``unit`` what they say given the stated units; from
+    ``least_stated`` files on, these give the source's level of micrometres.
     ``penalty`` is the cost of a change, in units of half a squared deviation; the usual deviation of a
     file's level is estimated from the files (median absolute deviation), at least ``least_spread``.
     """
+    if "stated" not in files.columns:
+        files = files.withColumn("stated", F.lit(None).cast("string"))
+    middle = lambda v: F.percentile_approx(v, 0.5)
     # what remains of a source's levels without powers of 1000 is that of micrometres
-    rest = F.col("level") - 3 * F.round(F.col("level") / 3)
-    base = materialize(files.groupBy("source").agg(F.percentile_approx(rest, 0.5).alias("base")))
-    spread = files.join(base, "source").agg((1.48 * F.percentile_approx(F.abs(rest - F.col("base")), 0.5)).alias("spread"))
+    rest = lambda v: v - 3 * F.round(v / 3)
+    level, stated = F.col("level"), F.col("stated")
+    told = level - F.when(stated == "um", 0).when(stated == "nm", 3).when(stated == "mm", -3).when(stated == "voxel", -F.col("voxel"))
+    base = materialize(
+        files.groupBy("source").agg(middle(rest(level)).alias("base"), F.when(F.count(told) >= least_stated, middle(told)).alias("told_base"))
+        .withColumn("told_base", F.coalesce("told_base", "base"))
+    )
+    deviation, told_deviation = rest(level) - F.col("base"), F.coalesce(told - F.col("told_base"), rest(level - F.col("told_base")))
+    spread = files.join(base, "source").agg(
+        (1.48 * middle(F.abs(deviation))).alias("spread"), (1.48 * middle(F.abs(told_deviation))).alias("told_spread")
+    )
     cut = materialize(
         files.join(base, "source").join(F.broadcast(spread)).repartitionByRange("source", "at", "neuron_id").withColumn("block", F.spark_partition_id())
     )
 
-    def costs(pdf: pd.DataFrame) -> np.ndarray:
-        base_, spread = (0.0 if pd.isna(v) else float(v) for v in pdf[["base", "spread"]].iloc[0])
-        return _costs(pdf["level"].to_numpy(float), pdf["voxel"].to_numpy(float), base_, max(spread, least_spread))
+    def costs(pdf: pd.DataFrame) -> list[np.ndarray]:
+        """By the numbers alone, and through what is stated."""
+        y, voxel = pdf["level"].to_numpy(float), pdf["voxel"].to_numpy(float)
+        base_, spread, told_base, told_spread = (0.0 if pd.isna(v) else float(v) for v in pdf[["base", "spread", "told_base", "told_spread"]].iloc[0])
+        alone = _costs(y, voxel, base_, max(spread, least_spread))
+        return [alone, _through(_costs(y, voxel, told_base, max(told_spread, least_spread)), pdf["stated"])]
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "neuron_id"])
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "block": [pdf["block"].iloc[0]], "way": [_ends(costs(pdf), penalty).ravel().tolist()]})
+        ways = [_ends(c, penalty).ravel().tolist() for c in costs(pdf)]
+        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "block": [pdf["block"].iloc[0]], "ways": [ways]})
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ways = [np.array(w).reshape(_STATES, _STATES) for w in pdf.sort_values("block")["way"]]
+    def fix_ends(ways: list[np.ndarray]) -> list[tuple[int, int]]:
         step, total, back = penalty * (1 - np.eye(_STATES)), None, []
         for way in ways:
             # into the first unit of this range from the last of the one before
@@ -200,19 +227,24 @@ def segment_history(files: DataFrame, least_spread: float = 0.01, penalty: float
             first = int(first_of[last])
             ends.append((first, last))
             last = int(source[first])
-        ends.reverse()
-        out = pdf.sort_values("block")[["source", "block"]].copy()
-        out["first"], out["last"] = zip(*ends, strict=True)
+        return ends[::-1]
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        ends = [fix_ends([np.array(w[k]).reshape(_STATES, _STATES) for w in pdf["ways"]]) for k in range(2)]
+        out = pdf[["source", "block"]].copy()
+        out["first"], out["last"] = zip(*[([a for a, _ in both], [b for _, b in both]) for both in zip(*ends, strict=True)], strict=True)
         return out
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "neuron_id"])
-        path = _best_path(costs(pdf), penalty, int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0]))
-        return pd.DataFrame({"neuron_id": pdf["neuron_id"], "history_unit": np.array(UNITS)[path]})
+        ends = zip(pdf["first"].iloc[0], pdf["last"].iloc[0], strict=True)
+        alone, given = (np.array(UNITS)[_best_path(c, penalty, int(a), int(b))] for c, (a, b) in zip(costs(pdf), ends, strict=True))
+        return pd.DataFrame({"neuron_id": pdf["neuron_id"], "history_unit": alone, "unit": given})
 
-    blocks = cut.groupBy("source", "block").applyInPandas(reduce, "source string, block int, way array<double>")
-    ends = blocks.groupBy("source").applyInPandas(chain, "source string, block int, first int, last int")
-    marked = cut.join(ends, ["source", "block"]).groupBy("source", "block").applyInPandas(trace, "neuron_id bigint, history_unit string")
+    blocks = cut.groupBy("source", "block").applyInPandas(reduce, "source string, block int, ways array<array<double>>")
+    ends = blocks.groupBy("source").applyInPandas(chain, "source string, block int, first array<int>, last array<int>")
+    marked = cut.join(ends, ["source", "block"]).groupBy("source", "block").applyInPandas(trace, "neuron_id bigint, history_unit string, unit string")
     return files.join(marked, "neuron_id", "left")
 
 
@@ -236,12 +268,13 @@ def file_units(neurons: DataFrame, scanners: DataFrame, nodes: DataFrame, lines:
             F.coalesce(stated_unit(F.col("header_text")), "line_says").alias("own"), unit_name(F.col("unit_text")).alias("noted"), unit_name(F.col("default_unit")).alias("usual"),
         )
         .withColumn("voxel", F.when(F.col("voxel_um")[0] > 0, F.log10(F.col("voxel_um")[0])))
+        .withColumn("stated", F.coalesce("own", "noted", "usual"))
     )
     files = materialize(files)
     marked = segment_history(files)
     return marked.select(
         "neuron_id",
-        F.coalesce("own", "noted", "usual", "history_unit").alias("swc_unit"),
+        F.coalesce("stated", "unit").alias("swc_unit"),
         "history_unit",
         F.when(F.col("own").isNotNull(), "file").when(F.col("noted").isNotNull(), "unit_text").when(F.col("usual").isNotNull(), "default").otherwise("history").alias("stated_by"),
         "resolution_unit",
