@@ -234,3 +234,12 @@ def test_failed_images_leave_a_row(spark):
         got = {(r.id, r.status, r.error_type) for r in found.collect()}
         assert ("bad", "failed", "ValueError") in got and {g[0] for g in got if g[1] == "failed"} == {"bad"} and {g[0] for g in got} == {"fork", "flat", "bad", "none"}
     assert tracing.end_to_end_paths(df).where("id = 'fork' and status = 'completed' and cost is not null").count() > 0
+
+
+def test_filter_traces_once(spark):
+    """The facts of an image are not found by a second run of what gives its chains."""
+    rows = [("a", c, s, b) for c, (s, b) in enumerate([(0.9, 5.0), (0.1, 6.0), (0.1, 4.0)])] + [("b", 0, 0.1, 1.0)]
+    stats = spark.createDataFrame(rows, "id string, chain_id int, mean_score double, mean_brightness double").mapInPandas(lambda pdfs: pdfs, "id string, chain_id int, mean_score double, mean_brightness double")
+    kept = tracing.filter_chains(stats, least=2)
+    assert sorted((r.id, r.chain_id) for r in kept.collect()) == [("a", 0), ("a", 1), ("b", 0)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
