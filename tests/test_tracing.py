@@ -243,3 +243,33 @@ def test_filter_traces_once(spark):
     kept = tracing.filter_chains(stats, least=2)
     assert sorted((r.id, r.chain_id) for r in kept.collect()) == [("a", 0), ("a", 1), ("b", 0)]
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_sampled_as_the_field():
+    """The same bits as sampling the field's points, inside the image and over its borders."""
+    image = np.random.default_rng(1).random((20, 24, 28)) * 100
+    rows = np.array([[2.0, 0.3, 1.0, 1.0], [3.3, 1.2, 4.0, 0.7], [1.0, 2.0, 0.1, 2.5]])
+    for frozen in (False, True):
+        image.flags.writeable = not frozen  # what is derived from a frozen image is kept
+        for start in (np.array([12.0, 11.0, 5.0]), np.array([1.0, 22.5, -3.0]), np.array([-50.0, 0.0, 0.0])):
+            points, w = tube.field_of(rows, 11.0)
+            values, weight = tube.sampled(image, rows, start, 11.0)
+            assert np.array_equal(values, volume.sample(image, points + start), equal_nan=True) and np.array_equal(w, weight)
+    image.flags.writeable = True
+    image[:] = 7
+    assert set(tube.sampled(image, rows, np.array([12.0, 11.0, 5.0]), 11.0)[0][0]) == {7.0}
+
+
+def test_climb_scores_what_it_needs():
+    """Trials after a good first one, and the same search twice, are left out."""
+    sizes = []
+
+    def rate(x):
+        sizes.append(len(x))
+        return -((x[:, 0] - 5.0) ** 2)
+
+    top = tube.climb(np.array([3.0, 0.5, 0.5, 1.0]), rate, CFG)
+    assert abs(top[0] - 5) < 0.2 and sizes[:3] == [9, 1, 8]
+    sizes.clear()
+    tube.climb(np.array([5.0, 0.5, 0.5, 1.0]), lambda x: rate(x) * 0 - np.abs(x[:, 1] - 0.5) * 0 + (x[:, 0] == 5.1), CFG)
+    assert sizes == [9, 1, 2]
