@@ -273,3 +273,22 @@ def test_climb_scores_what_it_needs():
     sizes.clear()
     tube.climb(np.array([5.0, 0.5, 0.5, 1.0]), lambda x: rate(x) * 0 - np.abs(x[:, 1] - 0.5) * 0 + (x[:, 0] == 5.1), CFG)
     assert sizes == [9, 1, 2]
+
+
+@pytest.mark.parametrize("levels", [1, 4, 250])
+def test_settled_path_as_a_queue(levels):
+    """The way of a queue, also where many ways cost the same; the queue still serves ways that pass a group."""
+    image = np.random.default_rng(levels).integers(0, levels, (7, 9, 8)).astype(float)
+    top = np.array(image.shape[::-1]) - 1
+    for start, end in ((np.array([0, 0, 0]), top), (np.array([3, 8, 0]), np.array([4, 0, 6])), (top, top)):
+        lonely = np.zeros(image.shape, bool)
+        lonely[tuple(start[::-1])] = True  # a group of the start alone changes nothing
+        queue = connect.shortest_path(image, start, end, np.zeros(3, int), top, lonely, levels / 2, 20.0)
+        assert connect.shortest_path(image, start, end, np.zeros(3, int), top, None, levels / 2, 20.0) == queue
+
+
+def test_ways_of_large_images_take_little(monkeypatch):
+    """Without a group no place goes through a queue one at a time."""
+    monkeypatch.setattr(connect.heapq, "heappop", lambda _: pytest.fail("one at a time"))
+    cost, path = connect.shortest_path(np.zeros((12, 12, 12)), np.zeros(3, int), np.full(3, 11), np.zeros(3, int), np.full(3, 11), None, 5.0, 1.0)
+    assert len(path) == 12 and cost > 0
