@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxtree.kernels import forest as f
 from voxtree.operators import graphs, spatial, trees
@@ -148,3 +149,16 @@ def test_somata_and_lengths(spark):
     got = {r.node_id: r.length for r in trees.lengths_from(nodes.drop("root_id"), starts).where("neuron_id = 1").collect()}
     assert got == {1: 13.0, 2: 10.0, 4: 9.0, 3: 4.0, 5: 0.0, 6: 7.0, 7: 0.0}
     assert trees.lengths_from(nodes.limit(0), starts).count() == 0
+
+
+def test_hot_cells_are_not_sent_everywhere(spark):
+    """A cell of n boxes is cut by its share of the work; its rows aren't written once for each ``most`` boxes."""
+    sides = [F.lit(v).alias(f"{a}{k}") for a in "xyz" for k, v in ((0, 1.0), (1, 1.5))]
+    boxes = spark.range(400).select("id", *sides)
+    a, b, by = spatial.salted(boxes, 0.1, 2.0, most=10)
+    parts = b.select(*by).distinct().count()
+    assert 1 < parts <= 25 and a.count() + b.count() <= 2 * 400 * 5
+    got = {(r.i, r.j) for r in spatial.boxes_within(boxes, 0.1, 2.0, most=10).collect()}
+    assert got == {(i, j) for j in range(400) for i in range(j)}
+    lone = spatial.boxes_within(boxes, 0.1, 2.0, most=1000)
+    assert lone.count() == lone.distinct().count() == len(got)
